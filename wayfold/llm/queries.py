@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from wayfold.llm import packing, pieces
+from wayfold.llm import packing, pieces, rules, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op2_simhash": simhash.query,
+    "op6_quality_rules": rules.query,
     "op10_sentencepiece": pieces.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": rules.oracle(),
+}
