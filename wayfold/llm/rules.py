@@ -23,7 +23,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 RATIOS = ("symbols", "dup_lines", "repeats", "capitals")
 #: Distance beyond the upper quartile in spreads, the least spread per ratio, and documents that make a group.
 FENCE = 4
-LEAST_SPREAD = {"symbols": 10, "dup_lines": 50, "repeats": 25, "capitals": 40}
+LEAST_SPREAD = {"symbols": 10, "dup_lines": 100, "repeats": 45, "capitals": 50}
 MIN_GROUP = 100
 #: Groups up to which their thresholds are broadcast (a row has under 100 bytes); beyond, Spark joins by shuffle.
 BROADCAST_GROUPS = 50_000
