@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wayfold.llm import packing, pieces, rules, simhash
+from wayfold.llm import language, packing, pieces, rules, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_simhash": simhash.query,
     "op6_quality_rules": rules.query,
+    "op8_language_id": language.query,
     "op10_sentencepiece": pieces.query,
 }
 

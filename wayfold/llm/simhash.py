@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -298,8 +299,6 @@ def keep_one(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
 
 
 def _fingerprint_udf(shingle: int):
-    import pandas as pd
-
     @F.pandas_udf("long")
     def mark(text: pd.Series) -> pd.Series:
         texts = [t or "" for t in text]
