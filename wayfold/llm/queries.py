@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from wayfold.llm import language, packing, pieces, rules, simhash
+from wayfold.llm import language, packing, pieces, rules, sharding, simhash, topk, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_simhash": simhash.query,
+    "op4_url_filters": urls.query,
+    "op5_exact_top_k": topk.query,
     "op6_quality_rules": rules.query,
     "op8_language_id": language.query,
+    "op9_hilbert_sharding": sharding.query,
     "op10_sentencepiece": pieces.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_filters": urls.oracle(),
+    "op5_exact_top_k": topk.oracle(),
     "op6_quality_rules": rules.oracle(),
 }
