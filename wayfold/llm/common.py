@@ -57,3 +57,21 @@ def held_out(doc_id: Column | str, folds: int = 5) -> Column:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_sample(rows: DataFrame, key: str, n: int, *ties: str) -> DataFrame:
+    """At most ``n`` rows: those whose hashed ``key`` is smallest (column ``h``), ordered by it and then by ``ties``.
+
+    A bound on the hash that lets about twice as many through comes first, so that what the tasks hand on for the final
+    order is in all a small multiple of ``n``, however many tasks there are.
+    """
+    hashed = rows.withColumn("h", F.xxhash64(key))
+    total, wanted = hashed.count(), 2 * n
+    while wanted < total:
+        bound = min(2**63 - 1, -(2**63) + (2**64 * wanted) // total)
+        some = hashed.where(F.col("h") <= F.lit(bound))
+        if some.count() >= n:
+            hashed = some
+            break
+        wanted *= 4  # few distinct keys
+    return hashed.orderBy("h", *ties).limit(n)

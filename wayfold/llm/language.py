@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import fresh, held_out
+from wayfold.llm.common import bounded_sample, fresh, held_out
 from wayfold.llm.packing import grouped
 
 HIDDEN, WINDOW, ROWS = 8, 64, 2048
@@ -213,10 +213,10 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, hidden: int =
 def train_on(documents: DataFrame, sample: int = SAMPLE) -> Network | None:
     """Trains on at most ``sample`` excerpts of rows with a language that are not held out: the rows whose hashed
     doc_id is smallest, and of each text ``EXCERPT`` characters from a place that the hash gives."""
-    h = F.xxhash64("doc_id")
-    rows = documents.where(~held_out("doc_id") & F.col("lang").isNotNull() & (F.length("text") > 0))
+    rows = documents.where(~held_out("doc_id") & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
     most = F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1
-    rows = rows.select(h.alias("h"), F.substring("text", F.pmod(h, most).cast("int") + 1, F.lit(EXCERPT)).alias("text"), "lang").orderBy("h", "text", "lang").limit(sample).collect()
+    excerpt = F.substring("text", F.pmod(F.xxhash64("doc_id"), most).cast("int") + 1, F.lit(EXCERPT))
+    rows = bounded_sample(rows.withColumn("text", excerpt), "doc_id", sample, "text", "lang").select("text", "lang").collect()
     rows = [r for r in rows if has_letter(r["text"])]
     return train([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
