@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import held_out, keep
+from wayfold.llm.common import bounded_sample, held_out, keep
 
 #: Labelled documents trained on (a bound that does not grow with the data): those whose hashed doc_id is smallest.
 SAMPLE = 20_000
@@ -163,7 +163,7 @@ def measure(documents: DataFrame) -> DataFrame:
 def train_on(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | None:
     """Trains on at most ``sample`` labelled documents that are not held out; of several labels the largest counts."""
     marks = labels.where(~held_out("doc_id") & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("y"))
-    rows = measured.join(marks, "doc_id").select(F.xxhash64("doc_id").alias("h"), "x", "y").orderBy("h", "x").limit(sample).collect()
+    rows = bounded_sample(measured.join(marks, "doc_id"), "doc_id", sample, "x").select("x", "y").collect()
     return train(np.array([r["x"] for r in rows], dtype=float), np.array([r["y"] for r in rows], dtype=float)) if rows else None
 
 
