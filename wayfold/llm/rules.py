@@ -118,12 +118,11 @@ def thresholds(measured: DataFrame) -> DataFrame:
     each = measured.select("lang", "source", F.explode(ratios).alias("r")).select("lang", "source", "r.ratio", "r.bin", F.lit(1).cast("long").alias("n"))
     fine = keep(sketch(each, ["lang", "source"]))
     per_lang = keep(sketch(fine, ["lang"]))
-    whole = fences(sketch(per_lang, []), [])
+    whole = fences(sketch(per_lang, []), []).first()  # one row of thresholds
     own, lang = fences(fine, ["lang", "source"]), fences(per_lang, ["lang"])
     lang = lang.select(F.col("lang").alias("l"), F.col("n").alias("n_lang"), *(F.col(r).alias(f"lang_{r}") for r in RATIOS))
-    whole = whole.select(*(F.col(r).alias(f"all_{r}") for r in RATIOS))
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l"))).join(F.broadcast(whole))  # one row
-    pick = lambda r: F.when(F.col("n") >= MIN_GROUP, F.col(r)).when(F.col("n_lang") >= MIN_GROUP, F.col(f"lang_{r}")).otherwise(F.col(f"all_{r}")).alias(r)
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l")))
+    pick = lambda r: F.when(F.col("n") >= MIN_GROUP, F.col(r)).when(F.col("n_lang") >= MIN_GROUP, F.col(f"lang_{r}")).otherwise(F.lit(whole[r] if whole else None).cast("int")).alias(r)
     return joined.select("lang", "source", *(pick(r) for r in RATIOS))
 
 
