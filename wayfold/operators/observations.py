@@ -37,9 +37,8 @@ def deduplicated(fixes: DataFrame) -> DataFrame:
 
 def in_extent(fixes: DataFrame, extent: DataFrame) -> DataFrame:
     """Adds in_extent; rows outside stay, as the flag only warns. ``extent`` has one row."""
-    box = extent.select("min_x", "min_y", "max_x", "max_y")
-    flag = F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
-    return fixes.join(F.broadcast(box)).withColumn("in_extent", flag).drop(*box.columns)
+    box = extent.first()
+    return fixes.withColumn("in_extent", F.col("x").between(box["min_x"], box["max_x"]) & F.col("y").between(box["min_y"], box["max_y"]))
 
 
 def displacement_velocity(rows: DataFrame, freq: float) -> DataFrame:
