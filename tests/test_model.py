@@ -211,3 +211,25 @@ def test_empty_tables(spark):
     from wayfold.operators.filters import filter_fixes
 
     assert filter_fixes(none, net, TrackingParameters()).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "expected"),
+    [
+        ([(0, 0), (1, 0)], [(1, 0), (2, 0)], ([(0, 0), (1, 0), (2, 0)], False)),
+        ([(1, 0), (2, 0)], [(0, 0), (1, 0)], ([(0, 0), (1, 0), (2, 0)], False)),
+        ([(0, 0), (1, 0), (2, 0)], [(1, 0), (2, 0), (3, 0)], ([(0, 0), (1, 0), (2, 0), (3, 0)], False)),
+        ([(0, 0), (1, 0), (2, 0)], [(3, 0), (2, 0), (1, 0)], ([(0, 0), (1, 0), (2, 0), (3, 0)], True)),
+        ([(0, 0), (1, 0), (2, 0), (3, 0)], [(1, 0), (2, 0)], ([(0, 0), (1, 0), (2, 0), (3, 0)], False)),
+        ([(1, 0), (2, 0)], [(3, 0), (2, 0), (1, 0), (0, 0)], ([(0, 0), (1, 0), (2, 0), (3, 0)], True)),
+        ([(0, 0), (1, 0)], [(5, 5), (6, 6)], None),
+    ],
+)
+def test_merging_lines(a, b, expected):
+    assert paths.merge_lines(a, b) == expected
+
+
+def test_drawing_from_a_truncated_normal():
+    u = (np.arange(2000) + 0.5) / 2000
+    x = gaussian.draw_truncated(u, np.full(2000, 1.0), np.full(2000, 2.0), np.full(2000, 0.0), np.full(2000, np.inf))
+    assert x.min() >= 0 and x.mean() == pytest.approx(float(gaussian.truncated_mean(np.array([1.0]), np.array([2.0]), np.array([0.0]), np.array([np.inf]))[0]), abs=0.01)

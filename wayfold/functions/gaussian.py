@@ -63,3 +63,27 @@ def dirichlet_mean(a: Column, b: Column) -> Column:
     """Mean of the first outcome; an infinite parameter makes its outcome certain."""
     infinite = F.lit(float("inf"))
     return F.when(a == infinite, F.lit(1.0)).when(b == infinite, F.lit(0.0)).otherwise(a / (a + b))
+
+
+def truncated_log_density(d: Column, mean: Column, variance: Column, low: Column, high: Column) -> Column:
+    """Log density of a distance on [low, high]: minus infinity outside, else the normal one around the mean pulled
+    into the range."""
+    pulled = F.greatest(low, F.least(high, mean))
+    return F.when((d < low) | (d > high), F.lit(float("-inf"))).otherwise(normal_log(d, pulled, variance))
+
+
+def speed_given_distance(d: Column, mean_d: Column, mean_v: Column, c00: Column, c01: Column) -> Column:
+    """Mean speed of a road state whose distance is known; at least 0."""
+    return F.greatest(F.lit(0.0), mean_v + c01 / c00 * (d - mean_d))
+
+
+def draw_truncated(u: np.ndarray, mean: np.ndarray, sd: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int = 60) -> np.ndarray:
+    """The inverse distribution function of a truncated normal at ``u``, by bisection."""
+    lo, hi = (np.clip(v, mean - 40 * sd, mean + 40 * sd) for v in (low, high))
+    a, b = phi((lo - mean) / sd), phi((hi - mean) / sd)
+    goal = a + u * (b - a)
+    for _ in range(steps):
+        middle = (lo + hi) / 2
+        under = phi((middle - mean) / sd) < goal
+        lo, hi = np.where(under, middle, lo), np.where(under, hi, middle)
+    return (lo + hi) / 2

@@ -22,6 +22,13 @@ def normalised(rows: DataFrame, log_w: str, keys: list[str]) -> DataFrame:
     return total.withColumn("weight", F.exp(F.col(log_w) - F.col("log_total"))).drop("_top")
 
 
+def mixture_mean(weighted: DataFrame, keys: list[str], edge: str, value: str) -> DataFrame:
+    """Per key the edge with the largest total weight (ties, to a millionth: the smallest) and the mean on it."""
+    per_edge = weighted.groupBy(*keys, edge).agg(F.sum("weight").alias("edge_weight"), (F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("mean"))
+    best = F.max_by(F.struct(edge, "edge_weight", "mean"), F.struct(F.round("edge_weight", 6), -F.col(edge)))
+    return per_edge.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
+
+
 def effective_size(weighted: DataFrame, keys: list[str]) -> DataFrame:
     """1 / sum of squared weights, and the number of weights, per key."""
     return weighted.groupBy(*keys).agg((1 / F.sum(F.col("weight") * F.col("weight"))).alias("ess"), F.count(F.lit(1)).alias("n"))

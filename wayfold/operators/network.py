@@ -152,6 +152,27 @@ class RoadNetwork:
             known = known.unionAll(step).groupBy("node", "other").agg(F.min("cost").alias("cost"))
         return known
 
+    def routes(self, pairs: DataFrame, bound: float) -> DataFrame:
+        """``pairs`` (node, other, whatever else) with the edges of the least-length way between the nodes and its
+        length; null beyond the bound. Searches share their trees within a task, so nodes are kept together."""
+        sent = self._spark.sparkContext.broadcast(self.compact())  # at most BROADCAST_SEGMENTS segments
+        numbers = self.node_numbers()
+
+        def run(batches):
+            net = sent.value
+            for batch in batches:
+                at = [(numbers.get(a), numbers.get(b)) for a, b in zip(batch["node"].tolist(), batch["other"].tolist(), strict=True)]
+                found = [net.route(a, b, bound) if a is not None and b is not None else None for a, b in at]
+                yield batch.assign(way=[None if w is None else [int(net.edge_id[e]) for e in w] for w in found], length=[None if w is None else float(sum(net.edge_len[e] for e in w)) for w in found])
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
+        return pairs.repartition("node").mapInPandas(run, schema + ", way array<int>, length double")
+
+    def node_numbers(self) -> dict:
+        """Node ids by their place in `CompactNetwork`; no more than two per edge, whose number is checked there."""
+        rows = self.edges.select("from_node", "to_node").collect()
+        return {n: k for k, n in enumerate(sorted({r[0] for r in rows} | {r[1] for r in rows}))}
+
     def compact(self) -> CompactNetwork:
         """The network as arrays for the per-source filters, which search paths step by step. Its size is checked: it
         must fit into every executor; split a larger one by region and run each region's sources against its part."""

@@ -7,7 +7,7 @@ last. Speeds are along the listed direction on both.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as g
@@ -106,3 +106,48 @@ def movement(points: Column, a: Column, b: Column) -> Column:
         return F.struct(x.alias("x"), y.alias("y"))
 
     return F.concat(F.array(at(a)), F.transform(inner, lambda e: e["p"]), F.array(at(b)))
+
+
+def merge_lines(a: list[tuple], b: list[tuple]) -> tuple[list[tuple], bool] | None:
+    """One line that holds both, in the direction of ``a``, and whether ``b`` runs the other way; None if they neither
+    overlap nor meet. A longer overlap wins; the same direction wins over the reversed one."""
+
+    def joined(p: list[tuple], q: list[tuple]) -> tuple[int, list[tuple]] | None:
+        n, m = len(p), len(q)
+        best = None
+        for shift in range(-(m - 1), n):  # q begins at place ``shift`` of p
+            lo, hi = max(0, shift), min(n, shift + m)
+            if p[lo:hi] == q[lo - shift : hi - shift] and (best is None or hi - lo > best[0]):
+                best = hi - lo, (q[: max(0, -shift)] + p + q[n - shift :] if shift + m > n else q[: max(0, -shift)] + p)
+        return best
+
+    same, other = joined(a, b), joined(a, b[::-1])
+    if same is None and other is None:
+        return None
+    if other is None or (same is not None and same[0] >= other[0]):
+        return same[1], False
+    return other[1], True
+
+
+def merged(a: Column, b: Column) -> Column:
+    """`merge_lines` as a column: struct(points, reversed), null where the lines do not meet."""
+    schema = "points array<struct<x: double, y: double>>, reversed boolean"
+
+    @F.udf(schema, useArrow=True)
+    def merge(p, q):
+        found = merge_lines([(v["x"], v["y"]) for v in p], [(v["x"], v["y"]) for v in q]) if p and q else None
+        return (found[0], found[1]) if found else None
+
+    return merge(a, b)
+
+
+def against(v: Column, to_x: Column, to_y: Column, from_x: Column, from_y: Column) -> Column:
+    """A speed along one direction as seen along another: the sign turns if they are opposed."""
+    return F.when(to_x * from_x + to_y * from_y < 0, -v).otherwise(v)
+
+
+def without_prefixes(rows: DataFrame, path: str = "path") -> DataFrame:
+    """Drops every path that another one continues. A path is looked up among the proper prefixes of all, so the join
+    is on equal arrays."""
+    shorter = rows.where(F.size(path) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda n: F.slice(F.col(path), F.lit(1), n))).alias("_prefix")).distinct()
+    return rows.join(shorter, F.col(path) == F.col("_prefix"), "left_anti")

@@ -300,6 +300,42 @@ def best_state(spark, sf):
     return rounded(best, "log_w")
 
 
+def mixture_mean(spark, sf):
+    rows = _weighted(spark, sf).withColumn("place", F.col("start_dist") + g.along(F.col("x"), F.col("y"), *map(F.col, mapmatch.SEGMENT)))
+    return rounded(learning.mixture_mean(rows, KEY, "edge_id", "place"), "edge_weight", "mean")
+
+
+def truncated_density(spark, sf):
+    """Log density of each fix's distance along its edge under a law on the edge's first 80 metres."""
+    rows = snapped(spark, sf)
+    out = gaussian.truncated_log_density(F.col("along"), 50 + F.col("vx"), F.lit(OBS_VAR), F.lit(0.0), F.lit(80.0))
+    v = gaussian.speed_given_distance(F.col("along"), F.lit(50.0), F.abs("vx"), *(F.lit(c) for c in motion.initial_covariance(OBS_VAR, FREQ)[:2]))
+    return rows.select(*KEY, F.when(out == float("-inf"), F.lit(None).cast("double")).otherwise(r4(out)).alias("log_density"), r4(v).alias("v"))
+
+
+def routes(spark, sf):
+    """Least way between the ends of the edges of two successive fixes, within two kilometres."""
+    net, w = _grid(spark), Window.partitionBy("source_id").orderBy("record_number")
+    s = net.by_id(snapped(spark, sf).select(*KEY, "edge_id"), "edge_id").select(*KEY, F.lag("edge_to_node").over(w).alias("node"), F.col("edge_from_node").alias("other"))
+    found = net.routes(s.where("node is not null"), 2_000.0)
+    return found.select(*KEY, "node", "other", F.size("way").alias("n_edges"), r4("length").alias("length"))
+
+
+def merged_streets(spark, sf):
+    """Each edge with each that leaves its end: one line, and whether the second runs back over the first."""
+    net = _grid(spark)
+    pairs = net.by_id(net.by_id(net.outgoing(), "edge_id").select("edge_id", "out_edge_id", F.col("edge_geometry").alias("a")), "out_edge_id").select("edge_id", "out_edge_id", "a", F.col("edge_geometry").alias("b"))
+    rows = pairs.withColumn("m", paths.merged(F.col("a"), F.col("b")))
+    return rows.select("edge_id", "out_edge_id", F.size("m.points").alias("n_points"), r4(g.line_length(F.col("m.points"))).alias("length"), F.col("m.reversed").alias("reversed"))
+
+
+def longest_paths(spark, sf):
+    """Of the walks up to a length, from edge 0, those that no other continues."""
+    walks = _grid(spark).paths_to_length(PATH_LENGTH).where("start_edge = 0").select("path")
+    starts = walks.select(F.slice("path", 1, 2).alias("path")).distinct()
+    return paths.without_prefixes(walks.unionAll(starts)).select(F.array_join("path", ",").alias("path"))
+
+
 def edge_weights(spark, sf):
     rows = learning.counted_weights(_weighted(spark, sf).select("edge_id", "weight", F.lit(1).alias("n")), ["edge_id"])
     return rounded(rows, "weight")
@@ -379,7 +415,7 @@ QUERIES = {
         paths_to_length, edges_at_length, node_reach, candidate_paths,
         snap_nearest, road_observation, ground_from_road, road_from_ground, covariance_projection, state_diff,
         kalman_predict, kalman_filter_offroad, obs_loglik, edge_predictive, truncated_mean,
-        transition_counts, dirichlet_mean, uturn_logprob, inverse_gamma_running, mixture_normalise, ess_by_fix, best_state, edge_weights,
+        transition_counts, dirichlet_mean, uturn_logprob, inverse_gamma_running, mixture_normalise, ess_by_fix, best_state, edge_weights, mixture_mean, truncated_density, routes, merged_streets, longest_paths,
         rmse, onoff_agreement, distance_summary, error_statistics, csv_roundtrip, stream_filter,
     )
 } | {"state_json": state_text, "simulate": simulated, "pl_filter": _filtered("pl"), "path_sampling_filter": _filtered("path_sampling"), "bootstrap_filter": _filtered("bootstrap")}

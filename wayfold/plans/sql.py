@@ -193,4 +193,13 @@ ORACLE_SQL = {
         SELECT source_id, record_number, '{{"meanLocation":[' || tx || ',' || ty || '],"state":{{"state":[' || CASE WHEN edge_id IS NOT NULL THEN printf('%.4f', round(dist, 4) + 0.0) || ',' || tvx ELSE tx || ',' || tvx || ',' || ty || ',' || tvy END
         || '],"stateLoc":[' || tx || ',' || ty || '],"path":null}}}}' AS json FROM said""",
     "csv_roundtrip": f"""{_with(_FIXES)} SELECT CAST(source_id AS VARCHAR) AS source_id, count(*) AS n, CAST(count(*) - 1 AS INTEGER) AS last, round(sum(40.7::DOUBLE + y / 111000), 3) AS lat, round(sum(x / 111000 - 74), 3) AS lon FROM fixes GROUP BY source_id""",
+    "mixture_mean": f"""{_with(*_FGN, _WEIGHTED)}, per_edge AS (SELECT source_id, record_number, edge_id, sum(weight) AS edge_weight, sum(weight * (start_dist + t)) / sum(weight) AS mean FROM weighted GROUP BY ALL)
+        SELECT source_id, record_number, edge_id, round(edge_weight, 4) + 0.0 AS edge_weight, round(mean, 4) + 0.0 AS mean FROM (SELECT *, row_number() OVER (PARTITION BY source_id, record_number ORDER BY round(edge_weight, 6) DESC, edge_id) AS r FROM per_edge) WHERE r = 1""",
+    "truncated_density": f"""{_with(*_FGN)} SELECT source_id, record_number, CASE WHEN along <= 80 THEN round(-0.5 * (ln(2 * pi()) + ln(100) + (along - greatest(0, least(80, 50 + vx))) ** 2 / 100), 4) + 0.0 END AS log_density,
+        round(greatest(0, abs(vx) + (along - 50) / 30), 4) + 0.0 AS v FROM snapped""",
+    "routes": f"""{_with(*_FGN)}, ends AS (SELECT s.source_id, s.record_number, lag(e.to_node) OVER (PARTITION BY s.source_id ORDER BY s.record_number) AS node, e.from_node AS other FROM snapped s JOIN edges e USING (edge_id))
+        SELECT source_id, record_number, node, other, CAST(abs(node // 11 - other // 11) + abs(node % 11 - other % 11) AS INTEGER) AS n_edges, 100.0::DOUBLE * (abs(node // 11 - other // 11) + abs(node % 11 - other % 11)) AS length FROM ends WHERE node IS NOT NULL""",
+    "merged_streets": f"""{_with(_GRID)} SELECT a.edge_id, b.edge_id AS out_edge_id, CASE WHEN b.to_node = a.from_node THEN 3 ELSE 5 END AS n_points, CASE WHEN b.to_node = a.from_node THEN 100.0::DOUBLE ELSE 200 END AS length, b.to_node = a.from_node AS reversed
+        FROM edges a JOIN edges b ON a.to_node = b.from_node""",
+    "longest_paths": f"{_with(_GRID, _WALK, recursive=True)} SELECT path FROM walk WHERE path_len >= 250 AND start_edge = 0",
 }
