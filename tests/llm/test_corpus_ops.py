@@ -137,6 +137,23 @@ def test_packing_in_several_blocks(spark):
     assert len(by_seq) <= math.ceil(lengths.sum() / 2048) + 3
 
 
+def test_packing_ends_where_nothing_fills_a_sequence(spark):
+    df = spark.createDataFrame([(k, 0, 0, 1500, k) for k in range(500)], packing.PIECES)
+    got = packing.pack(df, block=100).collect()
+    assert len({r["sequence_id"] for r in got}) == len(got) == 500
+
+
+def test_blocks_come_near_the_lower_bound():
+    lengths = np.sort(np.minimum(2047, np.random.default_rng(0).lognormal(6, 1, 5000).astype(int) + 1))[::-1]
+    seq = packing.packed_block(lengths, 2048)
+    fill, at = np.bincount(seq, weights=lengths), packing.offsets(seq, lengths)
+    assert fill.max() <= 2048 and fill.min() > 0
+    assert len(fill) <= math.ceil(lengths.sum() / 2048) + 3
+    for s in range(0, len(fill), 50):
+        own = np.flatnonzero(seq == s)
+        assert sorted(at[own].tolist()) == (np.cumsum(lengths[own][np.argsort(at[own])]) - lengths[own][np.argsort(at[own])]).tolist()
+
+
 # -- SentencePiece ------------------------------------------------------------------------------------------------
 
 

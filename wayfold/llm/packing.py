@@ -31,7 +31,9 @@ CAPACITY = 2048
 #: Pieces that one task packs at once.
 BLOCK = 16_384
 #: A sequence of a block is final if it lacks at most this share of the capacity.
-CLOSED_GAP = 0.004
+CLOSED_GAP = 0.002
+#: Rounds in which a block's emptiest sequences are packed again, and the shares of the sequences taken.
+ROUNDS, SHARES = 6, (0.02, 0.05, 0.1, 0.3)
 #: Token chunks that a worker remembers, and the longest chunk that it does.
 CACHED, CACHED_CHARS = 400_000, 48
 #: Characters that are split and encoded together.
@@ -200,11 +202,52 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return where, offset
 
 
+def packed_block(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The sequence of each piece of a block, for pieces in falling order of length.
+
+    The rule is an online one: early choices leave gaps that later pieces would have filled. So the pieces of the
+    emptiest sequences are taken out and placed again by the same rule, from small to larger shares of the sequences,
+    as long as rounds of this save any.
+    """
+    seq, _ = sum_of_squares(lengths, capacity)
+    used = int(seq.max(initial=-1)) + 1
+    least = -(-int(lengths.sum()) // capacity)
+    for _ in range(ROUNDS):
+        before = used
+        for share in SHARES:
+            fill = np.bincount(seq, weights=lengths, minlength=used)
+            open_ones = np.argsort(fill, kind="stable")[: max(8, int(used * share))]
+            at = np.flatnonzero(np.isin(seq, open_ones))
+            again, _ = sum_of_squares(lengths[at], capacity)
+            if used > least and again.max(initial=-1) < len(open_ones):
+                names = np.sort(open_ones)
+                seq[at] = names[again]
+                # names that are free now go to the last sequences
+                seq = np.unique(seq, return_inverse=True)[1]
+                used = int(seq.max()) + 1
+        if used == before or used == least:
+            break
+    return seq
+
+
+def offsets(seq: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places within the sequences, in the order of the pieces."""
+    order = np.argsort(seq, kind="stable")
+    ends = np.cumsum(lengths[order])
+    first = np.flatnonzero(np.diff(seq[order], prepend=-1))
+    base = np.repeat((ends - lengths[order])[first], np.diff(first, append=len(order)))
+    out = np.empty(len(seq), dtype=np.int64)
+    out[order] = ends - lengths[order] - base
+    return out
+
+
 def _packer(capacity: int, level: int, last: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        seq, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
-        fill = np.bincount(seq, weights=rows["length"].to_numpy(), minlength=1)
+        lengths = rows["length"].to_numpy()
+        seq = packed_block(lengths, capacity)
+        offset = offsets(seq, lengths)
+        fill = np.bincount(seq, weights=lengths, minlength=1)
         done = fill[seq] >= capacity * (1 - CLOSED_GAP) if not last else np.ones(len(seq), dtype=bool)
         return rows.drop(columns=["block"]).assign(sequence_id=(level << 56) + (int(key[0]) << 24) + seq, offset=offset, final=done)
 
@@ -214,10 +257,12 @@ def _packer(capacity: int, level: int, last: bool):
 def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """Adds sequence_id and offset to pieces with a ``length`` from 1 to ``capacity``. No key deals the rows out, so
     that repeated ids or lengths cannot make a block hot."""
-    done, rest, level = [], keep(rows), 0
+    done, rest, level, before = [], keep(rows), 0, None
     while True:
         n = rest.count()
-        blocks, last = max(1, -(-n // block)), n <= block
+        # pieces that fill no sequence in any company (all just over half the capacity, say) are not dealt on and on
+        blocks, last = max(1, -(-n // block)), n <= block or (before is not None and 2 * n > before)
+        before = n
         dealt = rest.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(blocks)))
         out = dealt.groupBy("block").applyInPandas(_packer(capacity, level, last), PACKED + ", final boolean")
         if last:
