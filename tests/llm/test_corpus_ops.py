@@ -77,6 +77,16 @@ def test_chunks_encode_as_whole_texts(rows):
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_long_texts_are_encoded_in_parts(rows, monkeypatch):
+    with open(WORD_BPE, "rb") as f:
+        encoder = packing.ChunkEncoder(f.read())
+    texts = [r[1] or "" for r in rows]
+    whole = encoder.ids(texts)
+    monkeypatch.setattr(packing, "GROUP_CHARS", 50)
+    assert encoder.ids(texts) == whole
+    assert all("".join(packing.parts_of(t, 7)) == t for t in texts)
+
+
 def test_sum_of_squares_takes_the_smallest_change():
     rnd, capacity = np.random.default_rng(0), 12
     lengths = rnd.integers(1, capacity + 1, 300)

@@ -70,10 +70,8 @@ def windows(coded: list[bytes], width: int = WINDOW) -> tuple[np.ndarray, np.nda
     lengths = np.array([len(c) for c in coded], dtype=np.int64)
     n = -(-lengths // width)
     flat = np.zeros(int(n.sum()) * width, dtype=np.uint8)
-    begin = (np.cumsum(n) - n) * width
-    raw = np.frombuffer(b"".join(coded), dtype=np.uint8)
-    shift = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)
-    flat[np.arange(len(raw)) + shift] = raw
+    for at, c in zip(((np.cumsum(n) - n) * width).tolist(), coded, strict=True):
+        flat[at : at + len(c)] = np.frombuffer(c, dtype=np.uint8)
     of = np.repeat(np.arange(len(coded)), n)
     place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     return flat.reshape(-1, width).T, of, np.minimum(width, lengths[of] - place * width)

@@ -52,6 +52,16 @@ _LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: The tokenizer's own division into words, for plain chunks in lower case.
 _WORDS = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 _WORD_END = "</w>"
+_BLANK = re.compile(r"[ \t\n\r]")
+
+
+def parts_of(text: str, most: int) -> Iterator[str]:
+    """Parts of about ``most`` characters, cut before white space."""
+    at = 0
+    while len(text) - at > 2 * most and (found := _BLANK.search(text, at + most)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
 
 
 class ChunkEncoder:
@@ -103,6 +113,12 @@ class ChunkEncoder:
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. A very long one is encoded in parts that end before white space."""
+        if any(len(t) > 2 * GROUP_CHARS for t in texts):
+            return [b"".join([self._ids([part])[0] for part in parts_of(t, GROUP_CHARS)]) for t in texts]
+        return self._ids(texts)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         chunks = [[t] if any(c in t for c in _NOT_BLANK) else t.split() for t in texts]
         known, new = self.known, set()
         for one in chunks:
