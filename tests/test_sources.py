@@ -46,6 +46,8 @@ def test_results_round_trip(spark, tmp_path):
     results.write_results(df, str(tmp_path / "r"))
     rows = spark.read.json(str(tmp_path / "r")).orderBy("record_number").collect()
     assert rows[0]["state"]["state"] == [5.0, 1.0] and rows[1]["state"]["state"] == [2.0, 0.5, 3.0, 0.0]
+    back = results.read_results(spark, str(tmp_path / "r")).orderBy("record_number").collect()
+    assert [(r["x"], r["y"], r["on_road"], r["state"]["path"]) for r in back] == [(2.0, 3.0, True, [4]), (2.0, 3.0, False, None)]
     said = [json.loads(r[0]) for r in df.select(results.state_json(df)).collect()]
     assert said[0] == {"meanLocation": [2.0, 3.0], "state": {"state": [5.0, 1.0], "stateLoc": [2.0, 3.0], "path": None}}
 

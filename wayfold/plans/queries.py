@@ -267,6 +267,18 @@ def dirichlet_mean(spark, sf):
     return rounded(rows.select("source_id", "p_on_on", "p_off_off"), "p_on_on", "p_off_off")
 
 
+def transition_domain(spark, sf):
+    return transitions.domain(on_off(spark, sf).select(*KEY, "edge_id", "x", "y"), _grid(spark), RADIUS, 150.0)
+
+
+def likely_moves(spark, sf):
+    """The likelier next motion of each fix, by its source's posterior means over all its fixes."""
+    p = transitions.posterior_means(transition_counts(spark, sf), (95.0, 5.0), (5.0, 95.0)).select("source_id", "p_on_on", "p_off_off")
+    rows = on_off(spark, sf).select(*KEY, "edge_id").join(p, "source_id")
+    moves = transitions.most_likely_move(rows, F.col("p_on_on"), F.col("p_off_off"))
+    return moves.select(*KEY, "next_on_road", r4("p_next").alias("p_next"))
+
+
 def uturn_logprob(spark, sf):
     w = Window.partitionBy("source_id").orderBy("record_number")
     segment = ("edge_id", "seg_idx", "x0", "y0", "x1", "y1", "edge_len")
@@ -415,7 +427,7 @@ QUERIES = {
         paths_to_length, edges_at_length, node_reach, candidate_paths,
         snap_nearest, road_observation, ground_from_road, road_from_ground, covariance_projection, state_diff,
         kalman_predict, kalman_filter_offroad, obs_loglik, edge_predictive, truncated_mean,
-        transition_counts, dirichlet_mean, uturn_logprob, inverse_gamma_running, mixture_normalise, ess_by_fix, best_state, edge_weights, mixture_mean, truncated_density, routes, merged_streets, longest_paths,
+        transition_counts, dirichlet_mean, transition_domain, likely_moves, uturn_logprob, inverse_gamma_running, mixture_normalise, ess_by_fix, best_state, edge_weights, mixture_mean, truncated_density, routes, merged_streets, longest_paths,
         rmse, onoff_agreement, distance_summary, error_statistics, csv_roundtrip, stream_filter,
     )
 } | {"state_json": state_text, "simulate": simulated, "pl_filter": _filtered("pl"), "path_sampling_filter": _filtered("path_sampling"), "bootstrap_filter": _filtered("bootstrap")}

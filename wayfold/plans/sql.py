@@ -202,4 +202,12 @@ ORACLE_SQL = {
     "merged_streets": f"""{_with(_GRID)} SELECT a.edge_id, b.edge_id AS out_edge_id, CASE WHEN b.to_node = a.from_node THEN 3 ELSE 5 END AS n_points, CASE WHEN b.to_node = a.from_node THEN 100.0::DOUBLE ELSE 200 END AS length, b.to_node = a.from_node AS reversed
         FROM edges a JOIN edges b ON a.to_node = b.from_node""",
     "longest_paths": f"{_with(_GRID, _WALK, recursive=True)} SELECT path FROM walk WHERE path_len >= 250 AND start_edge = 0",
+    "transition_domain": f"""{_with(*_FGN, _ON_OFF, recursive=True)}, far AS (SELECT edge_id AS start_edge, to_node AS node, edge_id AS last, 100 AS len FROM edges
+            UNION ALL SELECT f.start_edge, e.to_node, e.edge_id, f.len + 100 FROM far f JOIN edges e ON e.from_node = f.node WHERE f.len < 150)
+        SELECT o.source_id, o.record_number, f.last AS next_edge FROM onoff o JOIN (SELECT DISTINCT start_edge, last FROM far WHERE len >= 150) f ON o.edge_id = f.start_edge
+        UNION ALL SELECT DISTINCT n.source_id, n.record_number, n.edge_id FROM near n JOIN onoff o ON n.source_id = o.source_id AND n.record_number = o.record_number WHERE o.edge_id IS NULL
+        UNION ALL SELECT source_id, record_number, NULL FROM onoff""",
+    "likely_moves": f"""{_with(*_FGN, _ON_OFF, _COUNTS)}, p AS (SELECT source_id, (95.0::DOUBLE + on_on) / (100 + on_on + on_off) AS p_on, (5.0::DOUBLE + off_off) / (100 + off_off + off_on) AS p_off FROM counted),
+        s AS (SELECT o.source_id, o.record_number, o.edge_id IS NULL AS off, CASE WHEN o.edge_id IS NULL THEN p_off ELSE p_on END AS stay FROM onoff o JOIN p USING (source_id))
+        SELECT source_id, record_number, CASE WHEN off THEN stay < 0.5 ELSE stay >= 0.5 END AS next_on_road, round(greatest(stay, 1 - stay), 4) + 0.0 AS p_next FROM s""",
 }

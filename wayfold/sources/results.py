@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
@@ -37,6 +37,12 @@ def write_results(results: DataFrame, path: str) -> None:
     rows.select("source_id", "record_number", place.alias("meanLocation"), F.struct(state.alias("state"), place.alias("stateLoc"), F.col("path").alias("path")).alias("state")).write.json(path)
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """What `write_results` wrote, for accuracy measures (`operators.learning`)."""
+    schema = "source_id long, record_number int, meanLocation array<double>, state struct<state: array<double>, stateLoc: array<double>, path: array<int>>"
+    return spark.read.schema(schema).json(path).withColumns({"x": F.get("meanLocation", F.lit(0)), "y": F.get("meanLocation", F.lit(1)), "on_road": F.size("state.state") == 2})
+
+
 def heaviest(weighted: DataFrame, log_w: str = "log_w", n: int = 20) -> DataFrame:
     """The n heaviest states, for a look at a resampling distribution."""
     return weighted.orderBy(F.desc(log_w)).limit(n)
