@@ -128,7 +128,8 @@ class RoadNetwork:
 
     def paths_to_length(self, length: float, most_edges: int = 50) -> DataFrame:
         """(start_edge, path array<int>, path_len): every chain of edges from each edge whose length first reaches
-        ``length``. Dead ends before that are dropped. The walk is a recursive query, bounded by the length."""
+        ``length``. Dead ends before that are dropped. The walk is a recursive query, bounded by the length; for more
+        than a million walks raise ``spark.sql.cteRecursionRowLimit``."""
         self.edges.select("edge_id", "from_node", "to_node", g.line_length(F.col("geometry")).alias("len")).createOrReplaceTempView("wayfold_edges")
         return self._spark.sql(f"""
             WITH RECURSIVE walk(start_edge, node, path, path_len, n) AS (
