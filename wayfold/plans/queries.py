@@ -166,7 +166,7 @@ def candidate_paths(spark, sf):
     ends = net.edges.select(F.col("edge_id").alias("prev_edge"), F.col("to_node").alias("node"))
     goals = near(spark, sf).select(*KEY, "edge_id").distinct().join(net.sent(net.edges.select("edge_id", F.col("from_node").alias("other"))), "edge_id")
     starts = here.join(net.sent(ends), "prev_edge")
-    on = starts.join(goals, KEY).join(net.sent(net.reach(HOPS)), ["node", "other"]).select(*KEY, "prev_edge", "edge_id", r4("cost").alias("cost"))
+    on = starts.join(goals, KEY).join(net.reach(HOPS), ["node", "other"]).select(*KEY, "prev_edge", "edge_id", r4("cost").alias("cost"))
     off = here.select(*KEY, "prev_edge", F.lit(None).cast("int").alias("edge_id"), F.lit(None).cast("double").alias("cost"))
     return on.unionByName(off)
 
