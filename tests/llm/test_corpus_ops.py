@@ -254,6 +254,14 @@ def test_near_duplicates(docs, rows, none):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(first.values())
 
 
+def test_components_stay_apart_without_ids_and_with_repeated_ids(spark):
+    rnd = random.Random(4)
+    a, b, c, d = (" ".join(rnd.choice(WORDS) + str(rnd.randrange(999)) for _ in range(80)) for _ in range(4))
+    data = [(None, c), (None, c), (None, d), (5, a), (5, b), (7, b), (None, b)]
+    kept = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(None, c), (None, d), (5, a), (5, b)]))
+
+
 def test_hash_of_slices():
     data = bytes(random.Random(1).randrange(256) for _ in range(3000))
     start, length = np.array([0, 5, 9, 100, 3, 0, 7, 7, 11]), np.array([0, 1, 3, 4, 8, 31, 32, 100, 2500])

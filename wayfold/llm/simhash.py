@@ -262,12 +262,18 @@ def fingerprint_documents(documents: DataFrame, shingle: int = SHINGLE, seed: in
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def group_fingerprints(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(fp, component_id) for every fingerprint of ``marked`` (doc_id, fp): the smallest doc_id of those reachable over
-    links of at most ``distance`` differing bits. Equal fingerprints are one node, aggregated before the shuffle."""
+def root_fingerprints(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, first, root) for every fingerprint of ``marked`` (doc_id, fp): its smallest doc_id, and the fingerprint that
+    stands for all those reachable over links of at most ``distance`` differing bits. Equal fingerprints are one node,
+    aggregated before the shuffle."""
     groups = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(groups.select("fp"), groups.count(), distance))
-    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def group_fingerprints(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, component_id) for every fingerprint of ``marked`` (doc_id, fp): the smallest doc_id of its component."""
+    rooted = root_fingerprints(marked, distance)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return keep(rooted.join(least, "root").select("fp", "component_id"))
 
@@ -284,18 +290,19 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, distance: int
 
 
 def keep_one(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``documents`` without near copies: of each component, one row with its smallest doc_id. The columns
-    stay as they are. Of rows that share that id, the first by fingerprint and then by text stays."""
-    fp, text_of, component, place = fresh(documents, "fp", "digest", "component_id", "place")
+    """The rows of ``documents`` without near copies: of each component, one row with its smallest doc_id, or a row
+    without an id if none has one. The columns stay as they are. Of rows that share that id, the first by fingerprint
+    and then by text (its hash first) stays. Components are told apart by their root, as ids may repeat or be null."""
+    fp, digest, first, place = fresh(documents, "fp", "digest", "first", "place")
     # each row with its own fingerprint, so that rows that share an id stay apart
     columns = documents.columns
     marked = keep(documents.withColumn(fp, _fingerprint_udf(shingle)(F.col("text"))))
-    named = group_fingerprints(marked.select("doc_id", F.col(fp).alias("fp")), distance)
-    best = keep(marked.select(F.col("doc_id").alias("d"), F.col(fp).alias("fp")).join(named, "fp").where(F.col("d").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("fp")))
-    best = best.select(F.col("component_id").alias(component), F.col("fp").alias(text_of))
-    rows = marked.join(best, marked["doc_id"].eqNullSafe(best[component]) & (marked[fp] == best[text_of]))
-    first = rows.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", fp).orderBy(F.xxhash64("text"))))
-    return first.where(F.col(place) == 1).select(*columns)
+    rooted = root_fingerprints(marked.select("doc_id", F.col(fp).alias("fp")), distance)
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("first").alias("none"), "first", "fp")).alias("best"))
+    best = keep(best.select(F.col("best.first").alias(first), F.col("best.fp").alias(digest)))
+    rows = marked.join(best, marked["doc_id"].eqNullSafe(best[first]) & (marked[fp] == best[digest]))
+    ranked = rows.withColumn(place, F.row_number().over(Window.partitionBy(fp).orderBy(F.xxhash64("text"), "text")))
+    return ranked.where(F.col(place) == 1).select(*columns)
 
 
 def _fingerprint_udf(shingle: int):
