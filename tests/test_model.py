@@ -156,6 +156,26 @@ def test_filter_reaches_the_last_edge(method):
     assert best[2] and best[3] == 4 and (best[7], best[9]) == pytest.approx((1, 3), abs=0.1) and best[18][-1] == 4
 
 
+def test_guided_walk_gives_every_reachable_stretch(spark):
+    net = RoadNetwork(grid_edges(spark)).compact()
+    t = Tracker(net, TrackingParameters(path_search_bound=1620.0), "path_sampling")
+    t.start(np.array([500.0, 500.0]), None)
+    p = next(p for p in t.particles if p.on_road)
+    mean, cov = np.array([900.0, 30.0]), np.diag([75.0**2, 1.0])
+    found = {(int(segs[-1]), round(float(starts[-1]), 6)) for _, segs, starts in t._guided_paths(p, np.array([500.0, 500.0]), mean, cov)}
+    low, high = 900.0 - 1.95 * 75, 900.0 + 1.95 * 75
+    todo, seen = [(p.seg, float(net.start[p.seg]))], set()
+    while todo:
+        if (at := todo.pop()) in seen or at[1] > high:
+            continue
+        seen.add(at)
+        s, e = at[0], int(net.seg_edge[at[0]])
+        after = [s + 1] if s + 1 < net.first_seg[e] + net.n_segs[e] else [int(net.first_seg[f]) for f in net.out[int(net.to_node[e])]]
+        todo += [(k, round(at[1] + float(net.seg_len[s]), 6)) for k in after]
+    want = {(s, round(d, 6)) for s, d in seen if d + net.seg_len[s] >= low}
+    assert len(want) > 400 and want <= found
+
+
 def test_propagation_follows_the_road_and_leaves_at_a_dead_end():
     from dataclasses import replace
 
