@@ -139,6 +139,13 @@ def test_nearby_equals_brute_force(spark):
     assert all({(k, segs[s]["edge_id"], segs[s]["seg_idx"]) for s in compact.near(np.array([x, y]), 33.0)} == {w for w in want if w[0] == k} for k, x, y in p)
 
 
+def test_paths_of_many_short_edges(spark):
+    line = "array(named_struct('x', 5.0D * id, 'y', 0.0D), named_struct('x', 5.0D * id + 5, 'y', 0.0D)) AS geometry"
+    edges = spark.range(70).selectExpr("int(id) AS edge_id", "int(id) AS from_node", "int(id + 1) AS to_node", line)
+    got = RoadNetwork(edges).paths_to_length(300.0).collect()
+    assert sorted((r["start_edge"], len(r["path"]), r["path_len"]) for r in got) == [(k, 60, 300.0) for k in range(11)]
+
+
 def test_routes(spark):
     net = RoadNetwork(grid_edges(spark, 4, 50.0)).compact()
     way = net.route(0, 15, 1000.0)

@@ -126,17 +126,18 @@ class RoadNetwork:
         last = F.get("geometry", n - 1)
         return self.edges.select("edge_id", g.line_length(F.col("geometry")).alias("length"), mean("x").alias("centre_x"), mean("y").alias("centre_y"), F.get("geometry", F.lit(0))["x"].alias("x_from"), F.get("geometry", F.lit(0))["y"].alias("y_from"), last["x"].alias("x_to"), last["y"].alias("y_to"))
 
-    def paths_to_length(self, length: float, most_edges: int = 50) -> DataFrame:
+    def paths_to_length(self, length: float) -> DataFrame:
         """(start_edge, path array<int>, path_len): every chain of edges from each edge whose length first reaches
-        ``length``. Dead ends before that are dropped. The walk is a recursive query, bounded by the length; for more
-        than a million walks raise ``spark.sql.cteRecursionRowLimit``."""
+        ``length``. Dead ends before that are dropped. The walk is a recursive query, bounded by the length alone.
+        Spark fails beyond its own limits: for chains of over a hundred edges raise ``spark.sql.cteRecursionLevelLimit``,
+        for more than a million walks ``spark.sql.cteRecursionRowLimit``."""
         self.edges.select("edge_id", "from_node", "to_node", g.line_length(F.col("geometry")).alias("len")).createOrReplaceTempView("wayfold_edges")
         return self._spark.sql(f"""
-            WITH RECURSIVE walk(start_edge, node, path, path_len, n) AS (
-                SELECT edge_id, to_node, array(edge_id), len, 1 FROM wayfold_edges
+            WITH RECURSIVE walk(start_edge, node, path, path_len) AS (
+                SELECT edge_id, to_node, array(edge_id), len FROM wayfold_edges
                 UNION ALL
-                SELECT w.start_edge, e.to_node, concat(w.path, array(e.edge_id)), w.path_len + e.len, w.n + 1
-                FROM walk w JOIN wayfold_edges e ON e.from_node = w.node WHERE w.path_len < {length} AND w.n < {most_edges})
+                SELECT w.start_edge, e.to_node, concat(w.path, array(e.edge_id)), w.path_len + e.len
+                FROM walk w JOIN wayfold_edges e ON e.from_node = w.node WHERE w.path_len < {length})
             SELECT start_edge, path, path_len FROM walk WHERE path_len >= {length}""")
 
     def edges_at_length(self, length: float) -> DataFrame:
