@@ -355,31 +355,63 @@ def test_size_bounds_lose_nothing():
 # -- search, URLs, shards -----------------------------------------------------------------------------------------
 
 
+def plain_top_k(vectors, queries, k=10):
+    """Every pair scored with Python's integers; (query, rank, id, score)."""
+    out = []
+    for q, v in queries:
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i is None, i or 0) for i, w in vectors if i != q)
+        out += [(q, r + 1, None if none else i, -s) for r, (s, none, i) in enumerate(scored[:k])]
+    return out
+
+
 def test_exact_top_k(spark):
     from conftest import same_rows
 
     rng = np.random.default_rng(2)
-    data = [(k, rng.normal(0, 0.1, 6).round(2).tolist(), "extra") for k in range(350)] + [(400, None, ""), (500, [0.1, None], ""), (600, [float("nan")] * 6, ""), (700, [float("inf")] * 6, ""), (800, [0.0] * 6, "")]
+    data = [(k, rng.normal(0, 0.1, 6).round(2).tolist(), "extra") for k in range(350)] + [(400, None, ""), (500, [0.1, None], ""), (600, [float("nan")] * 6, ""), (700, [float("inf")] * 6, ""), (800, [0.0] * 6, ""), (None, [0.3] * 6, "")]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, score string")
-    v = topk.quantised(df)
+    v = topk.usable(df)
     got = topk.top_k(v, v.where("vec_id % 100 = 0"))
     c = duckdb.connect()
-    c.register("frame", pd.DataFrame([(k, e) for k, e, _ in data], columns=["vec_id", "embedding"]))
+    frame = pd.DataFrame([(k, e) for k, e, _ in data], columns=["vec_id", "embedding"])
+    frame["vec_id"] = frame["vec_id"].astype("Int64")
+    c.register("frame", frame)
     c.sql("CREATE TABLE embeddings AS SELECT vec_id, embedding::FLOAT[] AS embedding FROM frame")
     same_rows(got, c.sql(topk.oracle()))
     few = v.where("vec_id < 4")
     assert topk.top_k(few, few).groupBy("query_id").count().where("count <> 3").count() == 0
-    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == topk.top_k(v, v.limit(0)).count() == topk.top_k(v.limit(0), few).count() == 0
+
+
+def test_top_k_over_several_blocks_of_both_sides(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = [(k if k % 50 else None, rng.integers(-3, 4, rng.integers(4, 6)).astype(float).tolist()) for k in range(900)] + [(7, [1.0, 1.0]), (8, [])]
+    monkeypatch.setattr(topk, "BLOCK", 100)
+    v = spark.createDataFrame(data, "vec_id long, v array<double>").repartition(3)
+    asked = [(i, w) for i, w in data if i is not None and i % 7 == 3]
+    got = topk.top_k(v, spark.createDataFrame(asked, v.schema), scale=1, query_bytes=1600)
+    assert sorted(map(tuple, got.collect())) == sorted(plain_top_k(data, asked))
+
+
+def test_top_k_of_huge_components_is_exact(spark):
+    data = [(0, [1e20, 1.0]), (1, [1.0, 2.0]), (2, [1e30, 0.0]), (3, [-1e30, 0.0]), (4, [-2e30, 5.0]), (5, [1e300, 1e300])]
+    v = spark.createDataFrame(data, "vec_id long, v array<double>").repartition(3)
+    got = sorted(topk.top_k(v, v.where("vec_id = 0")).collect(), key=lambda r: r["rank"])
+    assert [r["vec_id"] for r in got] == [5, 2, 1, 3, 4]
+    assert [r["score"] for r in got] == [topk.LONG] * 3 + [-topk.LONG] * 2
 
 
 def test_threshold_algorithm_stops_early():
     rng = np.random.default_rng(0)
-    rows = rng.integers(0, 1000, (4000, 2))
-    lists = topk.Lists(np.arange(4000), rows)
-    q = np.array([3, 1])
-    ids, scores = lists.best(-1, q, 5)
-    order = np.lexsort((np.arange(4000), -(rows @ q)))[:5]
-    assert ids.tolist() == order.tolist() and scores.tolist() == (rows[order] @ q).tolist()
+    rows = rng.integers(0, 1000, (4000, 2)).astype(float)
+    q = np.array([[3.0, 1.0], [-1.0, 2.0]])
+    search = topk.Search(np.array([-1, -2]), q, 5)
+    search.meet(np.arange(4000), np.zeros(4000, dtype=bool), rows)
+    assert 0 < search.scored < 1000
+    for k, name in enumerate((-1, -2)):
+        at = int(np.flatnonzero(search.ids == name)[0])
+        order = np.lexsort((np.arange(4000), -(rows @ q[k])))[:5]
+        assert search.best[at].tolist() == order.tolist() and search.score[at].tolist() == (rows[order] @ q[k]).tolist()
 
 
 PAGES = [
