@@ -224,7 +224,36 @@ def plain_fingerprint(text):
     return sum(1 << k for k in range(64) if 2 * counts[k] > len(shingles))
 
 
-def groups(fps):
+def plain_long_fingerprint(text):
+    """Four words of 64 bits, from Python's integers."""
+    full, odd = (1 << 64) - 1, 0x9E3779B185EBCA87
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    own = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=42) for w in word_lists(text)]
+    runs = [own[i : i + 5] for i in range(len(own) - 4)] if len(own) >= 5 else [own] if own else []
+    out = []
+    for word in range(4):
+        counts = [0] * 64
+        for run in runs:
+            x = (sum(h * pow(odd, k, 1 << 64) for k, h in enumerate(run)) + (word + 1) * 0x9E3779B97F4A7C15) & full
+            x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+            x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+            x ^= x >> 31
+            for k in range(64):
+                counts[k] += x >> k & 1
+        out.append(sum(1 << k for k in range(64) if 2 * counts[k] > len(runs)))
+    return tuple(out)
+
+
+def near_long(a, b):
+    off = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
+    return min(off) <= 7 and sum(off) <= 40
+
+
+def near(a, b):
+    return (a ^ b).bit_count() <= 3
+
+
+def groups(fps, near=near):
     """Distinct fingerprints by union-find over all pairs."""
     fps = sorted(set(fps))
     root = {f: f for f in fps}
@@ -236,7 +265,7 @@ def groups(fps):
 
     for i, a in enumerate(fps):
         for b in fps[:i]:
-            if (a ^ b).bit_count() <= 3:
+            if near(a, b):
                 root[find(a)] = find(b)
     return {f: find(f) for f in fps}
 
@@ -250,8 +279,42 @@ def test_near_duplicates(docs, rows, none):
     want = Counter((r[0], f"{f:016x}", first.get(root[f])) for r, f in zip(rows, fps, strict=True))
     assert Counter(tuple(r) for r in simhash.near_duplicates(docs).collect()) == want
     assert simhash.near_duplicates(none).count() == 0
+
+
+def test_one_of_each_group_stays(docs, rows, none):
+    fps = [plain_long_fingerprint(r[1]) for r in rows]
+    root, first = groups(fps, near_long), {}
+    for r, f in zip(rows, fps, strict=True):
+        if r[0] is not None:
+            first[root[f]] = min(first.get(root[f], r[0]), r[0])
     kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(first.values())
+    assert kept.columns == docs.columns and len(first) < len({r[0] for r in rows}) - 4
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(first.values())
+    assert simhash.keep_one(none).count() == 0
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rnd = random.Random(8)
+    base = [[rnd.choice(WORDS) + str(rnd.randrange(400)) for _ in range(200)] for _ in range(60)]
+    near_copies = []
+    for words in base:
+        words = list(words)
+        for at in rnd.sample(range(10, 190, 45), 2):
+            words[at] = "changed"  # two of 196 shingles of five words change per side for each: similarity 0.9
+        near_copies.append(words)
+    texts = [" ".join(w) for w in base + near_copies]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert set(range(60)) <= kept and len(kept) <= 63
+
+
+def test_rings_lose_no_pair():
+    rnd = random.Random(3)
+    for distance in (1, 3, 7, 10):
+        blocks, allowed = simhash.ring(distance)
+        for _ in range(300):
+            x = sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, distance)))
+            turns = [f"{((x << n) | (x >> (64 - n))) & (2**64 - 1):064b}" for n in range(0, 64, 64 // blocks)]
+            assert any(all(t[:n].count("1") <= allowed[n] for n in range(65)) for t in turns)
 
 
 def test_components_stay_apart_without_ids_and_with_repeated_ids(spark):

@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
-from test_corpus_ops import check_packing, expected_pieces, groups, plain_fingerprint
+from test_corpus_ops import check_packing, expected_pieces, groups, near_long, plain_long_fingerprint
 
 from wayfold.llm import language, rules
 
@@ -23,8 +23,8 @@ def test_run_equals_plain_stages(spark, sf):
     left = {r["doc_id"]: r["text"] for r in first.collect()}
     p = language.predict(net, list(left.values())).max(axis=1)
     left = {k: t for (k, t), s in zip(left.items(), p, strict=True) if language.has_letter(t) and s >= language.MIN_SCORE}
-    fps = {k: plain_fingerprint(t) for k, t in left.items()}
-    root, least = groups(fps.values()), {}
+    fps = {k: plain_long_fingerprint(t) for k, t in left.items()}
+    root, least = groups(fps.values(), near_long), {}
     for k in sorted(fps, reverse=True):
         least[root[fps[k]]] = k
     kept = sorted(least.values())

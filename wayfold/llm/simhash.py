@@ -1,14 +1,16 @@
 """Near-duplicate documents by SimHash fingerprints and a self-join of binary tries.
 
-Fingerprint: bit k is set if it is set in over half of the XXH64 hashes (seed 42) of a text's word shingles. All
+Fingerprint: bit k is set if it is set in over half of the hashes of a text's word shingles. Either 64 bits of the XXH64
+hashes (seed 42) of the shingles, or several words of 64 bits from mixed sums of the hashes of a shingle's words. All
 hashes of a batch are computed together in numpy, on the bytes of the texts.
 
-Join: two fingerprints of 64 bits that differ in at most d bits agree in one of d+1 blocks. Each distinct fingerprint
-is turned so that each block in turn comes first, and dealt out by that block's value. A task holds the turned
-fingerprints sorted, which is a binary trie (a node is a range). It walks pairs of nodes down together, adding the
-bits in which their prefixes differ, and drops a pair once these exceed d. Nodes whose ranges are one component
-already are not walked again, so a large group of near copies costs no walk over all its pairs, and a task returns at
-most one link per fingerprint. `components` joins the tasks' links.
+Join: two words of 64 bits that differ in at most d bits agree in one of over d blocks; more than that, blocks lie on a
+ring, and from one of them on every run of l blocks holds at most l d / blocks of the differing bits. So each distinct
+word is turned so that each block in turn comes first, and dealt out by that block's value. A task holds the turned words
+sorted, which is a binary trie (a node is a range). It walks pairs of nodes down together, adding the bits in which their
+prefixes differ, and drops a pair once these exceed what its depth allows. Nodes whose ranges are one component already
+are not walked again, so a large group of near copies costs no walk over all its pairs, and a task returns at most one
+link per fingerprint. `components` joins the tasks' links.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import fresh, keep, parts
@@ -26,11 +28,15 @@ from wayfold.llm.components import components
 from wayfold.llm.packing import grouped
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
+#: Of `keep_one`: words of 64 bits in a fingerprint, the bits in which two of them may differ, and all of them together:
+#: of 256 bits that is a cosine of 0.88, which sets of shingles have at a Jaccard similarity of 0.79.
+STAGE_SHINGLE, WORDS, NEAR, TOTAL = 5, 4, 7, 40
 #: Shingles hashed at once; pairs of trie nodes walked at once; pairs compared directly below a node pair; turned
 #: fingerprints that a task should get.
 SLICE, WALK, LEAF, PER_TASK = 400_000, 400_000, 64, 400_000
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_GOLDEN, _MIX1, _MIX2 = (np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: A-Z in lower case, every separator as a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 #: Each bit of a byte in a byte of its own.
@@ -85,8 +91,8 @@ def xxh64(data: bytes, start: np.ndarray, length: np.ndarray, seed: int = SEED)
         return h ^ (h >> np.uint64(32))
 
 
-def fingerprints(texts: list[str], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The fingerprint of each text (uint64); 0 if it has no word."""
+def _split(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts with one space between, where each begins, its bytes, and the words of each text."""
     coded = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = b"\n".join([b"", *coded, b""]).translate(_FOLD)
     blank = np.frombuffer(data, dtype=np.uint8) == 32
@@ -94,33 +100,80 @@ def fingerprints(texts: list[str], shingle: int = SHINGLE, seed: int = SEED) ->
     sizes = np.flatnonzero(~blank[:-1] & blank[1:]) + 1 - starts
     ends = np.cumsum([len(c) + 1 for c in coded])
     words = np.diff(np.searchsorted(starts, ends), prepend=0)
-    # the words with one space between
     solid = np.frombuffer(data, dtype=np.uint8)[1:][~(blank[1:] & blank[:-1])].tobytes()
-    starts = np.cumsum(sizes + 1) - (sizes + 1)
-    n = np.where(words >= shingle, words - shingle + 1, np.minimum(words, 1))
-    first = np.cumsum(words) - words
-    begin = np.cumsum(n) - n
-    counts = np.zeros((len(texts), 64), dtype=np.int64)
+    return solid, np.cumsum(sizes + 1) - (sizes + 1), sizes, words
+
+
+def _shingles(words: np.ndarray, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """In slices: the text, the first and the last word of each shingle (fewer words: the whole sequence)."""
+    n = shingle_counts(words, shingle)
+    first, begin = np.cumsum(words) - words, np.cumsum(n) - n
     total = int(n.sum())
     for a in range(0, total, SLICE):
-        b = min(total, a + SLICE)
-        doc = np.searchsorted(begin + n, np.arange(a, b), side="right")
-        word = first[doc] + np.arange(a, b) - begin[doc]
-        last = word + np.minimum(words[doc], shingle) - 1
-        h = xxh64(solid, starts[word], starts[last] + sizes[last] - starts[word], seed)
-        # runs of one document with at most 255 shingles: a byte holds a bit's count
-        new = np.flatnonzero(np.diff(doc, prepend=-1))
-        place = np.arange(b - a) - np.repeat(new, np.diff(new, append=b - a))
-        cuts = np.flatnonzero(place % 255 == 0)
-        by_byte = h.view(np.uint8).reshape(-1, 8)
-        for j in range(8):
-            runs = np.add.reduceat(_SPREAD[by_byte[:, j]], cuts).view(np.uint8).reshape(-1, 8).astype(np.int64)
-            firsts = np.flatnonzero(np.diff(doc[cuts], prepend=-1))
-            counts[doc[cuts][firsts], 8 * j : 8 * j + 8] += np.add.reduceat(runs, firsts, axis=0)
+        doc = np.searchsorted(begin + n, np.arange(a, min(total, a + SLICE)), side="right")
+        word = first[doc] + np.arange(a, a + len(doc)) - begin[doc]
+        yield doc, word, word + np.minimum(words[doc], shingle) - 1
+
+
+def shingle_counts(words: np.ndarray, shingle: int) -> np.ndarray:
+    return np.where(words >= shingle, words - shingle + 1, np.minimum(words, 1))
+
+
+def _count_bits(counts: np.ndarray, h: np.ndarray, doc: np.ndarray) -> None:
+    """Adds the set bits of a slice's hashes to the counts of their texts."""
+    # runs of one document with at most 255 shingles: a byte holds a bit's count
+    new = np.flatnonzero(np.diff(doc, prepend=-1))
+    place = np.arange(len(doc)) - np.repeat(new, np.diff(new, append=len(doc)))
+    cuts = np.flatnonzero(place % 255 == 0)
+    firsts = np.flatnonzero(np.diff(doc[cuts], prepend=-1))
+    by_byte = h.view(np.uint8).reshape(-1, 8)
+    for j in range(8):
+        runs = np.add.reduceat(_SPREAD[by_byte[:, j]], cuts).view(np.uint8).reshape(-1, 8).astype(np.int64)
+        counts[doc[cuts][firsts], 8 * j : 8 * j + 8] += np.add.reduceat(runs, firsts, axis=0)
+
+
+def _majority(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
     set_bits = (2 * counts > n[:, None]).astype(np.uint64)
     return (set_bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+def fingerprints(texts: list[str], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The fingerprint of each text (uint64); 0 if it has no word."""
+    solid, starts, sizes, words = _split(texts)
+    counts = np.zeros((len(texts), 64), dtype=np.int64)
+    for doc, word, last in _shingles(words, shingle):
+        _count_bits(counts, xxh64(solid, starts[word], starts[last] + sizes[last] - starts[word], seed), doc)
+    return _majority(counts, shingle_counts(words, shingle))
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of several hashes made from one."""
+    with np.errstate(over="ignore"):
+        x = h + np.uint64(k + 1) * _GOLDEN
+        x = (x ^ (x >> np.uint64(30))) * _MIX1
+        x = (x ^ (x >> np.uint64(27))) * _MIX2
+        return x ^ (x >> np.uint64(31))
+
+
+def long_fingerprints(texts: list[str], shingle: int = STAGE_SHINGLE, n_words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Fingerprints of ``n_words`` times 64 bits (texts, n_words). A shingle's hash is the sum of the XXH64 hashes of its
+    words, each times a power of an odd number by its place, mixed anew for each 64 bits."""
+    solid, starts, sizes, words = _split(texts)
+    own = np.concatenate([xxh64(solid, starts[a : a + SLICE], sizes[a : a + SLICE], seed) for a in range(0, len(starts), SLICE)]) if len(starts) else np.empty(0, dtype=np.uint64)
+    counts = np.zeros((n_words, len(texts), 64), dtype=np.int64)
+    with np.errstate(over="ignore"):
+        for doc, word, last in _shingles(words, shingle):
+            h, power = np.zeros(len(doc), dtype=np.uint64), np.uint64(1)
+            for k in range(shingle):
+                inside = word + k <= last
+                h += np.where(inside, own[np.minimum(word + k, last)] * power, np.uint64(0))
+                power = power * _P1
+            for k in range(n_words):
+                _count_bits(counts[k], mixed(h, k), doc)
+    n = shingle_counts(words, shingle)
+    return np.stack([_majority(c, n) for c in counts], axis=1)
+
+
 def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels (each node's smallest known fellow) after linking i with j."""
     while True:
@@ -134,24 +187,27 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Distinct keys, sorted; nodes are ranges [lo, hi) of keys with a common prefix."""
+    """Sorted keys; nodes are ranges [lo, hi) of keys with a common prefix. ``allowed``: the differing bits that prefixes
+    of each length may have (without it, ``distance``). ``more``: further words of each key, which may differ in
+    ``total`` bits together with it."""
 
-    def __init__(self, keys: np.ndarray, prefix: int, distance: int):
-        self.keys, self.prefix, self.distance = keys, prefix, distance
+    def __init__(self, keys: np.ndarray, prefix: int, distance: int, allowed: list[int] | None = None, more: np.ndarray | None = None, total: int = 0):
+        self.keys, self.prefix, self.distance, self.more, self.total = keys, prefix, distance, more, total
+        self.allowed = allowed or [distance] * 65
         self.label = np.arange(len(keys))
-        self.zeros: dict[int, np.ndarray] = {}
 
-    def middle(self, depth: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Where the keys of a node turn from 0 to 1 in bit ``depth`` (from the top)."""
-        if depth not in self.zeros:
-            zero = (self.keys >> np.uint64(63 - depth)) & np.uint64(1) == 0
-            self.zeros[depth] = np.concatenate([[0], np.cumsum(zero, dtype=np.int32)]).astype(np.int32)
-        z = self.zeros[depth]
-        return lo + z[hi] - z[lo]
+    def middle(self, depth: int, lo: np.ndarray) -> np.ndarray:
+        """Where the keys of a node that begins at ``lo`` turn from 0 to 1 in bit ``depth`` (from the top)."""
+        bit = np.uint64(63 - depth)
+        return np.searchsorted(self.keys, ((self.keys[lo] >> bit) | np.uint64(1)) << bit, side="left")
 
     def near(self, i: np.ndarray, j: np.ndarray) -> None:
-        ok = np.bitwise_count(self.keys[i] ^ self.keys[j]) <= self.distance
-        if ok.any():
+        off = np.bitwise_count(self.keys[i] ^ self.keys[j])
+        ok = np.flatnonzero(off <= self.distance)
+        if ok.size and self.more is not None:
+            i, j = i[ok], j[ok]
+            ok = np.flatnonzero(off[ok] + np.bitwise_count(self.more[i] ^ self.more[j]).sum(axis=1, dtype=np.int64) <= self.total)
+        if ok.size:
             self.label = unite(self.label, i[ok], j[ok])
 
     def leaves(self, alo, ahi, blo, bhi) -> None:
@@ -172,7 +228,8 @@ class Trie:
         return cuts[:-1], cuts[1:]
 
     def walk(self) -> np.ndarray:
-        """Labels after linking all keys that agree in the prefix and differ in at most ``distance`` bits."""
+        """Labels after linking all keys that agree in the prefix, differ in no more bits than allowed at any depth and
+        are near each other. Other near pairs may be linked, too."""
         if len(self.keys) < 2:
             return self.label
         top = self.keys >> np.uint64(64 - self.prefix)
@@ -191,14 +248,15 @@ class Trie:
                 continue
             turns = np.concatenate([[0], np.cumsum(self.label[1:] != self.label[:-1])])
             one = (turns[alo] == turns[ahi - 1]) & (turns[blo] == turns[bhi - 1]) & (self.label[alo] == self.label[blo])
-            small = (ahi - alo) * (bhi - blo) <= LEAF
+            small = ((ahi - alo) * (bhi - blo) <= LEAF) | (depth >= 64)
             if (leaf := small & ~one).any():
                 self.leaves(alo[leaf], ahi[leaf], blo[leaf], bhi[leaf])
             on = ~small & ~one
             if not on.any():
                 continue
             alo, ahi, blo, bhi, off = (x[on] for x in (alo, ahi, blo, bhi, off))
-            am, bm, own = self.middle(depth, alo, ahi), self.middle(depth, blo, bhi), alo == blo
+            own = alo == blo
+            am, bm = np.minimum(self.middle(depth, alo), ahi), np.minimum(self.middle(depth, blo), bhi)
             children = [
                 (alo, am, blo, bm, off),
                 (am, ahi, bm, bhi, off),
@@ -206,37 +264,50 @@ class Trie:
                 (am[~own], ahi[~own], blo[~own], bm[~own], off[~own] + np.int8(1)),
             ]
             alo, ahi, blo, bhi, off = (np.concatenate(x) for x in zip(*children, strict=True))
-            fit = (ahi > alo) & (bhi > blo) & (off <= self.distance) & ~((alo == blo) & (ahi - alo == 1))
+            fit = (ahi > alo) & (bhi > blo) & (off <= self.allowed[depth + 1]) & ~((alo == blo) & (ahi - alo == 1))
             if fit.any():
                 stack.append((depth + 1, *(x[fit] for x in (alo, ahi, blo, bhi, off))))
         return self.label
 
 
-def links(fps: DataFrame, rows: int, distance: int = DISTANCE) -> DataFrame:
-    """Links (u, v) that join the distinct fingerprints (``fp``, long) into the components that all pairs with at most
-    ``distance`` differing bits would. ``rows``: how many there are."""
-    blocks = distance + 1
+def ring(distance: int) -> tuple[int, list[int]]:
+    """Blocks of 64 bits for a distance under 64, and the differing bits that a prefix of each length may have in one of
+    the turns that begin with a block."""
+    blocks = 1 << distance.bit_length()
     width = 64 // blocks
+    return blocks, [-(-n // width) * distance // blocks for n in range(65)]
+
+
+def links(fps: DataFrame, rows: int, distance: int = DISTANCE, words: tuple[str, ...] = ("fp",), total: int = 0) -> DataFrame:
+    """Links (u, v: numbers ``node``) that join the rows of ``fps`` (node, and ``words`` of 64 bits, longs, distinct
+    together) into the components that all pairs would: those that differ in at most ``distance`` bits of one word and, if
+    there are several, in ``total`` bits in all. ``rows``: how many there are."""
+    blocks, allowed = ring(distance)
+    width, m = 64 // blocks, len(words)
 
-    def turned(k: int):
-        n = width * k
-        key = F.col("fp") if not n else F.shiftleft("fp", n).bitwiseOR(F.shiftrightunsigned("fp", 64 - n))
-        return F.struct(F.lit(k).cast("byte").alias("block"), key.alias("key"))
+    def turned(word: str, slot: int):
+        n = width * (slot % blocks)
+        key = F.col(word) if not n else F.shiftleft(word, n).bitwiseOR(F.shiftrightunsigned(word, 64 - n))
+        rest = [F.col(w).alias(f"m{k}") for k, w in enumerate(w for w in words if w != word)]
+        return F.struct(F.lit(slot).cast("short").alias("slot"), key.alias("key"), F.col("node").alias("node"), *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        block, key = (np.concatenate(x) if got else np.empty(0) for x in (zip(*got, strict=True) if got else ((), ())))
-        for k in range(blocks):
-            keys = np.sort(key[block == k].astype(np.int64).view(np.uint64))
-            label = Trie(keys, width, distance).walk()
+        columns = [np.concatenate(c) for c in zip(*([x.to_numpy() for x in b.columns] for b in batches), strict=True)]
+        slot, key, node, *rest = columns
+        for k in np.unique(slot).tolist():
+            at = np.flatnonzero(slot == k)
+            at = at[np.argsort(key[at].view(np.uint64), kind="stable")]
+            more = np.stack([r[at].view(np.uint64) for r in rest], axis=1) if rest else None
+            label = Trie(key[at].view(np.uint64), width, distance, allowed, more, total).walk()
             linked = np.flatnonzero(label != np.arange(len(label)))
-            back = [_turn(x, 64 - width * k).view(np.int64) if k else x.view(np.int64) for x in (keys[linked], keys[label[linked]])]
+            ends = node[at[linked]], node[at[label[linked]]]
             for a in range(0, len(linked), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in back], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in ends], names=["u", "v"])
 
-    dealt = fps.select(F.explode(F.array(*(turned(k) for k in range(blocks)))).alias("t")).select("t.block", "t.key")
-    n = max(parts(fps.sparkSession), -(-rows * blocks // PER_TASK))
-    dealt = dealt.repartition(n, "block", F.shiftrightunsigned("key", 64 - width))
+    every = F.array(*(turned(w, j * blocks + k) for j, w in enumerate(words) for k in range(blocks)))
+    dealt = fps.select(F.explode(every).alias("t")).select("t.*")
+    n = max(parts(fps.sparkSession), -(-rows * blocks * m // PER_TASK))
+    dealt = dealt.repartition(n, "slot", F.shiftrightunsigned("key", 64 - width))
     return dealt.mapInArrow(_safe(run), "u long, v long")
 
 
@@ -267,7 +338,7 @@ def root_fingerprints(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
     stands for all those reachable over links of at most ``distance`` differing bits. Equal fingerprints are one node,
     aggregated before the shuffle."""
     groups = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(groups.select("fp"), groups.count(), distance))
+    roots = components(links(groups.select("fp", F.col("fp").alias("node")), groups.count(), distance))
     return groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
@@ -289,28 +360,36 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, distance: int
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``documents`` without near copies: of each component, one row with its smallest doc_id, or a row
-    without an id if none has one. The columns stay as they are. Of rows that share that id, the first by fingerprint
-    and then by text (its hash first) stays. Components are told apart by their root, as ids may repeat or be null."""
-    fp, digest, first, place = fresh(documents, "fp", "digest", "first", "place")
-    # each row with its own fingerprint, so that rows that share an id stay apart
-    columns = documents.columns
-    marked = keep(documents.withColumn(fp, _fingerprint_udf(shingle)(F.col("text"))))
-    rooted = root_fingerprints(marked.select("doc_id", F.col(fp).alias("fp")), distance)
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("first").alias("none"), "first", "fp")).alias("best"))
-    best = keep(best.select(F.col("best.first").alias(first), F.col("best.fp").alias(digest)))
-    rows = marked.join(best, marked["doc_id"].eqNullSafe(best[first]) & (marked[fp] == best[digest]))
-    ranked = rows.withColumn(place, F.row_number().over(Window.partitionBy(fp).orderBy(F.xxhash64("text"), "text")))
-    return ranked.where(F.col(place) == 1).select(*columns)
-
-
-def _fingerprint_udf(shingle: int):
-    @F.pandas_udf("long")
+def keep_one(documents: DataFrame, shingle: int = STAGE_SHINGLE, words: int = WORDS, distance: int = NEAR, total: int = TOTAL) -> DataFrame:
+    """The rows of ``documents`` without near copies, their columns as they are.
+
+    Fingerprints of ``words`` times 64 bits over shingles of ``shingle`` words are linked if they differ in at most
+    ``distance`` bits of one word and in ``total`` bits in all. Of each component one row stays: one with its smallest
+    doc_id, or a row without an id if none has one. Components are told apart by their own numbers, as ids may repeat or
+    be null; rows that share an id are judged each by its text. Null, empty and blank texts have the fingerprint zero and
+    are copies of each other; repeated rows are copies; no rows give none.
+
+    Only (row, doc_id, fingerprint) is grouped and linked; the texts are dealt once, by row, to meet the rows that stay.
+    """
+    row, named = fresh(documents, "row", "fingerprint")
+    marked = keep(documents.withColumns({named: _fingerprint_udf(shingle, words)(F.col("text")), row: F.monotonically_increasing_id()}))
+    w = tuple(f"w{k}" for k in range(words))
+    thin = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), *(F.get(named, F.lit(k)).alias(c) for k, c in enumerate(w)))
+    # the smallest id, nulls last; each distinct fingerprint gets a number
+    groups = thin.groupBy(*w).agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("best"))
+    groups = keep(groups.withColumn("node", F.monotonically_increasing_id()))
+    roots = components(links(groups.select("node", *w), groups.count(), distance, w, total))
+    rooted = groups.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
+    stay = keep(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row)))
+    return marked.join(stay, row, "left_semi").select(*documents.columns)
+
+
+def _fingerprint_udf(shingle: int, words: int):
+    @F.pandas_udf("array<long>")
     def mark(text: pd.Series) -> pd.Series:
         texts = [t or "" for t in text]
-        found = [fingerprints(texts[a:b], shingle) for a, b in grouped(texts)]
-        return pd.Series(np.concatenate(found).view(np.int64) if found else np.empty(0, dtype=np.int64))
+        found = [long_fingerprints(texts[a:b], shingle, words).view(np.int64) for a, b in grouped(texts)]
+        return pd.Series([x for part in found for x in part], dtype=object)
 
     return mark
 
