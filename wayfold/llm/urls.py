@@ -6,8 +6,9 @@ pass level 2, and so on until no key passes wrongly. A key of the universe is li
 is even, or if it passes all and their number is odd. There are no false answers in the universe, and no join.
 
 Scale: the universe is made once (distinct hosts, aggregated before the shuffle); each level is built by tasks that OR
-the bits of their keys; only filter words go to the driver, under ``MAX_BYTES`` in all, which is checked before. Beyond
-that bound the hosts are marked by a join instead.
+the bits of their keys; only filter words go to the driver and to the tasks. Keys are dealt by their hash into as many
+parts as keep each part's cascade under about ``MAX_BYTES``; rows pass the parts one after the other, so no task ever
+holds more than one part's filters, whatever the length of the list.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ UNWANTED = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "s
 LISTED = tuple(f"{name}.example.{top}" for name in UNWANTED for top in ("com", "net", "org"))
 #: Share of keys that pass a level wrongly, and the least share for level 1, which is otherwise listed / others.
 PASS, LEAST_PASS = 0.1, 1e-4
-MAX_BYTES, MAX_LEVELS = 64 << 20, 64
+MAX_BYTES, MAX_LEVELS, PART_SEED = 64 << 20, 64, 1_000_003
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -60,7 +61,7 @@ class Level:
     words: np.ndarray
 
     @staticmethod
-    def shape(n: int, share: float) -> tuple[int, int]:
+    def shape(n: float, share: float) -> tuple[int, int]:
         return max(64, math.ceil(-n * math.log(share) / math.log(2) ** 2)), max(1, round(-math.log2(share)))
 
 
@@ -98,8 +99,18 @@ def _packed(keys: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return b"".join(coded), np.cumsum(length) - length, length
 
 
-def build_cascade(universe: DataFrame, max_bytes: int = MAX_BYTES) -> Cascade | None:
-    """From distinct keys: (key string, listed boolean). None if the filters would exceed ``max_bytes``."""
+def expected_bytes(listed: int, others: int) -> int:
+    """About what the filters of a cascade take: each level below the first holds the keys that pass the one above."""
+    share = min(PASS, max(LEAST_PASS, listed / max(1, others)))
+    bits, n, m = Level.shape(listed, share)[0], others * share, listed * PASS
+    while listed and n >= 1:
+        bits += Level.shape(n, PASS)[0]
+        n, m = m, n * PASS
+    return bits // 8
+
+
+def build_cascade(universe: DataFrame) -> Cascade:
+    """From distinct keys: (key string, listed boolean)."""
     done = Cascade()
     total = {bool(r["listed"]): r["count"] for r in universe.groupBy("listed").count().collect()}
     others = total.get(False, 0)
@@ -110,8 +121,6 @@ def build_cascade(universe: DataFrame, max_bytes: int = MAX_BYTES) -> Cascade |
             return done
         share = min(PASS, max(LEAST_PASS, n / max(1, others))) if k == 0 else PASS
         bits, hashes = Level.shape(n, share)
-        if done.size() + bits // 8 > max_bytes:
-            return None
         words = np.zeros(-(-bits // 64), dtype=np.uint64)
         for r in side.mapInArrow(_bits(done, bits, hashes, k + 1), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
             words[r["word"]] = np.uint64(r["bits"] & (2**64 - 1))
@@ -146,24 +155,44 @@ def _bits(done: Cascade, bits: int, hashes: int, seed: int):
     return run
 
 
-def domains(host: Column) -> Column:
-    """A host and its parent domains."""
-    labels = F.split(host, r"\.")
+def domains(host: Column, longest: int) -> Column:
+    """A host and its parent domains, those of at most ``longest`` bytes: no longer one can be listed. So the work for a
+    host of any length is bounded."""
+    labels = F.split(F.right(host, F.lit(longest + 1)), r"\.")
     n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    every = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    return F.filter(every, lambda d: F.octet_length(d) <= longest)
 
 
-def universe_of(hosts: DataFrame, listed: list[str] | tuple[str, ...] | DataFrame) -> DataFrame:
-    """(key, listed): the distinct hosts of the column ``host``, their parent domains, and all listed keys."""
+def universe_of(hosts: DataFrame, listed: list[str] | tuple[str, ...] | DataFrame) -> tuple[DataFrame, int]:
+    """(key, listed): the distinct hosts of the column ``host`` and their parent domains, and all listed keys; and the
+    bytes of the longest listed key, beyond which a domain is not asked for."""
     spark = hosts.sparkSession
-    keys = hosts.where("host <> ''").select("host").distinct().select(F.explode(domains(F.col("host"))).alias("key")).select("key", F.lit(0).alias("l"))
     given = listed.select(F.col(listed.columns[0]).alias("key")) if isinstance(listed, DataFrame) else spark.createDataFrame([(k,) for k in listed], "key string")
     given = given.where("key is not null").select("key", F.lit(1).alias("l"))
-    return keep(keys.unionAll(given).groupBy("key").agg((F.max("l") == 1).alias("listed")))
+    longest = given.agg(F.max(F.octet_length("key"))).first()[0] or 0
+    keys = hosts.where("host <> ''").select("host").distinct().select(F.explode(domains(F.col("host"), longest)).alias("key")).select("key", F.lit(0).alias("l"))
+    return keep(keys.unionAll(given).groupBy("key").agg((F.max("l") == 1).alias("listed"))), longest
+
+
+def part_of(data: bytes, start: np.ndarray, length: np.ndarray, parts: int) -> np.ndarray:
+    """The part that each key is dealt to."""
+    return (xxh64(data, start, length, PART_SEED) % np.uint64(parts)).astype(np.int64)
+
 
+def _dealt(parts: int):
+    """A pandas UDF: the part of a key."""
 
-def contains_domain(cascade: Cascade):
-    """A pandas UDF: whether a host or a parent domain of it is listed."""
+    @F.pandas_udf("int")
+    def part(key: pd.Series) -> pd.Series:
+        return pd.Series(part_of(*_packed(key.tolist()), parts).astype(np.int32))
+
+    return part
+
+
+def contains_domain(cascade: Cascade, longest: int, part: int = 0, parts: int = 1):
+    """A pandas UDF: whether a host or a parent domain of it, of at most ``longest`` bytes and dealt to this part, is
+    listed."""
 
     @F.pandas_udf("boolean")
     def listed(host: pd.Series) -> pd.Series:
@@ -176,8 +205,11 @@ def contains_domain(cascade: Cascade):
         start = np.concatenate([ends - length, dots[~np.isin(dots, ends)] + 1]).astype(np.int64)
         of = np.concatenate([np.arange(len(coded)), np.searchsorted(ends, start[len(coded) :])])
         hit = np.zeros(len(coded), dtype=bool)
-        some = length[of] > 0
+        some = (length[of] > 0) & (ends[of] - start <= longest)
         start, of = start[some], of[some]
+        if parts > 1:
+            some = part_of(data, start, ends[of] - start, parts) == part
+            start, of = start[some], of[some]
         hit[of[cascade.listed(data, start, ends[of] - start)]] = True
         return pd.Series(hit)
 
@@ -187,20 +219,23 @@ def contains_domain(cascade: Cascade):
 def judge_urls(pages: DataFrame, rules=RULES, listed=LISTED, max_bytes: int = MAX_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages`` (page_id, url).
 
-    A null url and one without ``://`` have neither host nor path, fit no rule and are allowed; repeated rows are
-    repeated; other columns are ignored; no rows give none. Without a rule, a url is blocked if its host or a parent
-    domain of that is listed.
+    ``listed``: domains, as strings or as the first column of a DataFrame. A null url and one without ``://`` have neither
+    host nor path, fit no rule and are allowed; repeated rows are repeated; other columns are ignored; no rows give none.
+    Without a rule, a url is blocked if its host or a parent domain of that is listed.
     """
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    universe = universe_of(rows.select("host"), listed)
-    cascade = build_cascade(universe, max_bytes)
-    if cascade is None:  # the filters would be too large to send to every task
-        keys = universe.where("listed").select("key")
-        bad = rows.select("host").distinct().select("host", F.explode(domains(F.col("host"))).alias("key")).join(keys, "key", "left_semi").select("host").distinct()
-        marked = rows.join(bad.withColumn("bad", F.lit(True)), "host", "left").select("page_id", "host", "path", F.coalesce("bad", F.lit(False)).alias("bad"))
-    else:
-        marked = rows.withColumn("bad", contains_domain(cascade)(F.col("host")))
+    universe, longest = universe_of(rows.select("host"), listed)
+    total = {bool(r["listed"]): r["count"] for r in universe.groupBy("listed").count().collect()}
+    parts = max(1, -(-expected_bytes(total.get(True, 0), total.get(False, 0)) // max(1, max_bytes)))
+    if parts > 1:
+        universe = keep(universe.withColumn("part", _dealt(parts)(F.col("key"))))
+    marked = rows.withColumn("bad", F.lit(False))
+    for k in range(parts):
+        cascade = build_cascade(universe.where(F.col("part") == k) if parts > 1 else universe)
+        marked = marked.withColumn("bad", F.col("bad") | contains_domain(cascade, longest, k, parts)(F.col("host")))
+        if k < parts - 1:
+            marked = keep(marked)  # the filters of one part at a time
     ruled = marked.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.when(F.col("bad"), "block").otherwise("allow")
     for kind, rule in rules:
