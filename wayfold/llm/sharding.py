@@ -51,27 +51,35 @@ def hilbert_index(codes: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def leading_number(text: Column) -> Column:
-    """The first six bytes of a string as a number, which orders strings as they do; null stays null."""
-    head = F.substring(F.encode(text, "UTF-8"), 1, 6)
+def leading_number(text: Column, skip: int = 0) -> Column:
+    """Six bytes of a string, after ``skip`` bytes, as a number, which orders strings that share those bytes as they do;
+    null stays null."""
+    head = F.substring(F.encode(text, "UTF-8"), skip + 1, 6)
     return F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10).cast("double")
 
 
-def _numeric(df: DataFrame, name: str) -> Column:
-    kind = dict(df.dtypes)[name]
-    return leading_number(F.col(name)) if kind == "string" else F.col(name).cast("double")
+def _numeric(df: DataFrame, dims: list[str]) -> list[Column]:
+    """Each dimension as a number; strings by the six bytes behind what all of them begin with."""
+    kinds = dict(df.dtypes)
+    texts = [d for d in dims if kinds[d] == "string"]
+    ends = df.agg(*(f(d).alias(f"{n}{k}") for k, d in enumerate(texts) for n, f in (("a", F.min), ("z", F.max)))).first() if texts else None
+    skip = {}
+    for k, d in enumerate(texts):
+        a, z = ((ends[f"{n}{k}"] or "").encode("utf-8", "surrogatepass") for n in "az")
+        skip[d] = next((i for i, (x, y) in enumerate(zip(a, z, strict=False)) if x != y), min(len(a), len(z)))
+    return [leading_number(F.col(d), skip[d]) if d in skip else F.col(d).cast("double") for d in dims]
 
 
 def hilbert_order(df: DataFrame, dims: list[str], ties: list[str], rank: str = "rank", bits: int = BITS) -> DataFrame:
     """``df`` with the place of each row (long, from 0, without gaps) along the curve over the columns ``dims``.
 
-    Null and NaN come first in a dimension. Rows of a cell are ordered by ``ties``; rows equal in all of these come in
+    Null and NaN come first in a dimension. Rows of a cell are ordered by ``dims`` as they are and then by ``ties``; rows equal in all of these come in
     any order, but each has one place. The kept table is sorted, in ranges.
     """
     spark, columns = df.sparkSession, df.columns
     marks = fresh(df, *(f"dim_{k}" for k in range(len(dims))), "curve", "mid", "part", "before", rank)
     values, (curve, mid, part, before, _) = marks[: len(dims)], marks[len(dims) :]
-    df = df.withColumns({v: F.nanvl(_numeric(df, d), F.lit(None).cast("double")) for v, d in zip(values, dims, strict=True)})
+    df = df.withColumns({v: F.nanvl(c, F.lit(None).cast("double")) for v, c in zip(values, _numeric(df, dims), strict=True)})
     steps = (1 << bits) - 2
     shares = [k / steps for k in range(1, steps)]
     found = df.agg(*(F.percentile_approx(v, shares, PRECISION).alias(v) for v in values)).first()
@@ -86,7 +94,7 @@ def hilbert_order(df: DataFrame, dims: list[str], ties: list[str], rank: str = "
         return pd.Series(hilbert_index(np.array(codes), bits))
 
     placed = df.withColumn(curve, place(F.struct(*values))).drop(*values)
-    ranged = placed.repartitionByRange(parts(spark), curve, *ties).sortWithinPartitions(curve, *ties)
+    ranged = placed.repartitionByRange(parts(spark), curve, *dims, *ties).sortWithinPartitions(curve, *dims, *ties)
     kept = keep(ranged.withColumn(mid, F.monotonically_increasing_id()))
     kept = kept.withColumn(part, F.shiftrightunsigned(mid, 33))
     counts = sorted((r[0], r[1]) for r in kept.groupBy(part).count().collect())  # a row per range
@@ -109,7 +117,9 @@ def cut_runs(ordered: DataFrame, shards: int = SHARDS, rank: str = "rank") -> Da
 
 
 def hilbert_shards(df: DataFrame, dims: list[str], ties: list[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """All rows and columns of ``df`` with shard and slot (which ``df`` must not have)."""
+    """All rows and columns of ``df`` with shard and slot, which ``df`` must not have."""
+    if taken := {"shard", "slot"} & {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has columns named {sorted(taken)}")
     return cut_runs(hilbert_order(df, dims, ties, *fresh(df, "rank"), bits), shards, *fresh(df, "rank"))
 
 
@@ -127,7 +137,7 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``documents`` (doc_id, text, lang, source).
 
     The law is ``rows``: the shards' row counts are at most one apart. The curve runs over language, source and size;
-    equal texts of a language and source are neighbours. A null text has no bytes and the CRC of none; null languages
+    equal texts of a language and source are neighbours, those of different ones may lie apart. A null text has no bytes and the CRC of none; null languages
     and sources come first; repeated rows get a slot each; other columns are ignored; no rows give none.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
