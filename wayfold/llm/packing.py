@@ -272,7 +272,8 @@ def _packer(capacity: int, level: int, last: bool):
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """Adds sequence_id and offset to pieces with a ``length`` from 1 to ``capacity``. No key deals the rows out, so
-    that repeated ids or lengths cannot make a block hot."""
+    that repeated ids or lengths cannot make a block hot; null ids and repeated rows are packed like any other, ties fall
+    either way, and no rows give none."""
     done, rest, level, before = [], keep(rows), 0, None
     while True:
         n = rest.count()

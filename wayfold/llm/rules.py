@@ -4,9 +4,10 @@ Everything is a DataFrame expression: no Python runs on the executors.
 
 Ratios of a text are integers in thousandths. Their sketch is a histogram of these at most 1001 bins per group, so it
 merges by adding counts, does not depend on the order or the division of the rows, and gives any quantile to within a
-thousandth. Counts are aggregated before the shuffle and spread over bins, so that no group is hot. A group with few
-documents takes the thresholds of its language, or else those of all documents, whose sketches are the merged ones of
-the groups below.
+thousandth of its value (not of its rank: most ratios are 0, and so is their quantile). Counts are aggregated before the
+shuffle and spread over bins, so that no group is hot. A group with fewer than ``min_group`` documents takes the
+thresholds of its language, or else those of all documents, whose sketches are the merged ones of the groups below; with
+``min_group`` 1 every group has its own.
 
 A threshold is the upper quartile plus ``FENCE`` times the distance between the quartiles (at least ``LEAST_SPREAD``).
 """
@@ -21,7 +22,7 @@ from wayfold.llm.common import SEPARATORS, fresh, keep
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Ratios whose upper thresholds adapt, in thousandths.
 RATIOS = ("symbols", "dup_lines", "repeats", "capitals")
-#: Distance beyond the upper quartile in spreads, the least spread per ratio, and documents that make a group.
+#: Distance beyond the upper quartile in spreads, the least spread per ratio, and documents that make a group by default.
 FENCE = 4
 LEAST_SPREAD = {"symbols": 10, "dup_lines": 100, "repeats": 45, "capitals": 50}
 MIN_GROUP = 100
@@ -111,7 +112,7 @@ def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
     return per.groupBy(*by).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("ratio") == r, F.col("fence"))).alias(r) for r in RATIOS))
 
 
-def thresholds(measured: DataFrame) -> DataFrame:
+def thresholds(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """(lang, source) -> thresholds, from rows with lang, source and a struct ``m`` of `measures`. Null languages and
     sources are groups of their own."""
     ratios = F.array(*(F.struct(F.lit(r).alias("ratio"), c.alias("bin")) for r, c in _ratios(F.col("m")).items()))
@@ -122,14 +123,14 @@ def thresholds(measured: DataFrame) -> DataFrame:
     own, lang = fences(fine, ["lang", "source"]), fences(per_lang, ["lang"])
     lang = lang.select(F.col("lang").alias("l"), F.col("n").alias("n_lang"), *(F.col(r).alias(f"lang_{r}") for r in RATIOS))
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l")))
-    pick = lambda r: F.when(F.col("n") >= MIN_GROUP, F.col(r)).when(F.col("n_lang") >= MIN_GROUP, F.col(f"lang_{r}")).otherwise(F.lit(whole[r] if whole else None).cast("int")).alias(r)
+    pick = lambda r: F.when(F.col("n") >= min_group, F.col(r)).when(F.col("n_lang") >= min_group, F.col(f"lang_{r}")).otherwise(F.lit(whole[r] if whole else None).cast("int")).alias(r)
     return joined.select("lang", "source", *(pick(r) for r in RATIOS))
 
 
-def judge(measured: DataFrame, name: str) -> DataFrame:
+def judge(measured: DataFrame, name: str, min_group: int = MIN_GROUP) -> DataFrame:
     """``measured`` (lang, source, m, whatever else) with the verdict in a column ``name``: false if a base rule
     fails or a ratio is beyond its group's threshold."""
-    limits = keep(thresholds(measured.select("lang", "source", "m")))
+    limits = keep(thresholds(measured.select("lang", "source", "m"), min_group))
     l, s, *cols = fresh(measured, "lang_of", "source_of", *(f"most_{r}" for r in RATIOS))
     limits = limits.select(F.col("lang").alias(l), F.col("source").alias(s), *(F.col(r).alias(c) for r, c in zip(RATIOS, cols, strict=True)))
     if limits.count() <= BROADCAST_GROUPS:
@@ -141,24 +142,25 @@ def judge(measured: DataFrame, name: str) -> DataFrame:
     return joined.withColumn(name, ~base_failed(F.col("m")) & within).drop(l, s, *cols)
 
 
-def quality_rules(documents: DataFrame) -> DataFrame:
+def quality_rules(documents: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """doc_id, the base counts, base_failed and kept of every row of ``documents`` (doc_id, text, lang, source).
 
     A null or empty text has no words and fails; repeated rows are repeated, and count in the sketches as often; other
     columns are ignored; no rows give none. The texts are read once and never shuffled.
     """
     measured = keep(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", measures(F.col("text")).alias("m")))
-    judged = judge(measured, "kept")
+    judged = judge(measured, "kept", min_group)
     return judged.select("doc_id", *(F.col("m")[c].alias(c) for c in BASE), base_failed(F.col("m")).alias("base_failed"), "kept")
 
 
-def keep_good(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that the rules keep, with their columns as they are."""
+def keep_good(documents: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """The rows of ``documents`` that the rules keep, with their columns as they are. Null, empty and short texts go; a row
+    that comes twice stays or goes twice; no rows give none."""
     columns = documents.columns
     row, m, kept = fresh(documents, "row", "m", "kept")
     whole = F.struct(*columns).alias(row)
     measured = keep(documents.select(whole, F.col("lang").alias("lang"), F.col("source").alias("source"), measures(F.col("text")).alias("m")))
-    judged = judge(measured, kept)
+    judged = judge(measured, kept, min_group)
     return judged.where(F.col(kept)).select(*(F.col(row)[c].alias(c) for c in columns))
 
 

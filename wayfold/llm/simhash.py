@@ -281,7 +281,7 @@ def ring(distance: int) -> tuple[int, list[int]]:
 def links(fps: DataFrame, rows: int, distance: int = DISTANCE, words: tuple[str, ...] = ("fp",), total: int = 0) -> DataFrame:
     """Links (u, v: numbers ``node``) that join the rows of ``fps`` (node, and ``words`` of 64 bits, longs, distinct
     together) into the components that all pairs would: those that differ in at most ``distance`` bits of one word and, if
-    there are several, in ``total`` bits in all. ``rows``: how many there are."""
+    there are several, in ``total`` bits in all. ``rows``: how many there are; none give no link."""
     blocks, allowed = ring(distance)
     width, m = 64 // blocks, len(words)
 
