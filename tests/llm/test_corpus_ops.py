@@ -384,6 +384,14 @@ def test_base_counts(docs, rows):
     assert Counter(tuple(r) for r in rules.quality_rules(docs).select("doc_id", *rules.BASE).collect()) == want
 
 
+def test_small_groups_may_have_thresholds_of_their_own(spark):
+    prose = lambda k, star: " ".join(WORDS[(k + j) % len(WORDS)] + ("*" if star else "") for j in range(24))
+    data = [(k, prose(k, False), "en", "plain") for k in range(200)] + [(1000 + k, prose(k, True), "en", "starred") for k in range(5)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    kept = lambda n: rules.quality_rules(df, min_group=n).where("doc_id >= 1000 and kept").count()
+    assert (kept(1), kept(rules.MIN_GROUP)) == (5, 0)
+
+
 def test_thresholds_adapt_to_a_group(spark):
     rnd = random.Random(9)
     prose = lambda star: " ".join(rnd.choice(WORDS) + ("*" if rnd.random() < star else "") for _ in range(60))
@@ -495,8 +503,21 @@ def test_urls_equal_sql(spark):
     c.sql("CREATE TABLE pages AS SELECT * FROM frame")
     got = urls.judge_urls(df)
     same_rows(got, c.sql(urls.oracle()))
-    same_rows(urls.judge_urls(df, max_bytes=0), c.sql(urls.oracle()))  # the way beyond the size bound
     assert urls.judge_urls(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "spam-farm.example.net/"), (2, "http://" + "." * 100_000)], "page_id long, url string")
+    assert [r["verdict"] for r in urls.judge_urls(long).orderBy("page_id").collect()] == ["block", "allow"]
+
+
+@pytest.mark.parametrize("max_bytes", [64 << 20, 60])
+def test_long_lists_in_parts(spark, max_bytes):
+    """Every host asked for is judged rightly, whether all filters fit or not."""
+    listed = spark.createDataFrame([(f"bad{k}.net",) for k in range(0, 900, 3)] + [("c.bad1.net",), (None,)], "domain string")
+    hosts = [f"{p}bad{k}.net" for k in range(900) for p in ("", "a.b.")] + ["c.bad1.net", "x.c.bad1.net", "bad1.net.org"]
+    pages = spark.createDataFrame([(k, f"x://{h}/") for k, h in enumerate(hosts)], "page_id long, url string")
+    want = [h.endswith("c.bad1.net") or (h.endswith(".net") and int(h.rpartition("bad")[2][:-4]) % 3 == 0) for h in hosts]
+    got = {r["page_id"]: r["verdict"] == "block" for r in urls.judge_urls(pages, rules=(), listed=listed, max_bytes=max_bytes).collect()}
+    assert [got[k] for k in range(len(hosts))] == want
+    assert 180 < urls.expected_bytes(301, 900) < 600 and urls.expected_bytes(0, 5) < 100
 
 
 def test_cascade_is_exact_over_its_universe(spark):
@@ -532,6 +553,56 @@ def test_shards(spark, docs, rows, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def plain_hilbert(point, bits):
+    """Place along the curve, by halving the cube bit by bit with the turns of the corner met (Hamilton's way), for the
+    orientation in which the first axis comes first."""
+    n = len(point)
+    x, m = list(point), 1 << (bits - 1)
+    q = m
+    while q > 1:  # undo the excess turns
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, m
+    while q > 1:
+        t ^= q - 1 if x[-1] & q else 0
+        q >>= 1
+    x = [v ^ t for v in x]
+    return int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_shards_equal_a_plain_order(spark):
+    """Codes, order and cuts of one table, in plain Python."""
+    rnd = random.Random(6)
+    data = [(k, "w " * rnd.randrange(60), rnd.choice(["de", "en", "es", None]), f"common-source-{rnd.randrange(30)}") for k in range(700)]
+    data += [(k % 50, data[k % 7][1], data[k % 7][2], data[k % 7][3]) for k in range(100)]
+    got = sharding.shard_documents(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"))
+    rows = [(i, len(t) + 16, zlib.crc32(t.encode()), lang, source) for i, t, lang, source in data]
+
+    def number(text, skip):
+        return None if text is None else int.from_bytes(text.encode()[skip : skip + 6].ljust(6, b"\0"), "big")
+
+    dims = [[number(r[3], 0) for r in rows], [number(r[4], len("common-source-")) for r in rows], [r[1] for r in rows]]
+    codes = []
+    for values in dims:
+        some = sorted(v for v in values if v is not None)
+        edges = sorted({some[math.ceil(k / 62 * len(some)) - 1] for k in range(1, 62)})
+        codes.append([0 if v is None else 1 + sum(e <= v for e in edges) for v in values])
+    none_first = lambda v: (v is not None, v or "")
+    order = sorted(range(len(rows)), key=lambda k: (plain_hilbert([c[k] for c in codes], 6), none_first(rows[k][3]), none_first(rows[k][4]), rows[k][1], rows[k][2], rows[k][0]))
+    want, n = [], len(rows)
+    for place, k in enumerate(order):
+        shard = place * 40 // n
+        want.append((*rows[k][:3], shard, place - -(-shard * n // 40)))
+    assert sorted(tuple(r) for r in got.select("doc_id", "size", "text_crc32", "shard", "slot").collect()) == sorted(want)
+
+
 def test_shards_prune(spark, tmp_path):
     rng = np.random.default_rng(0)
     df = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 1, (4000, 2)))], "id long, x double, y double")
@@ -566,12 +637,46 @@ def test_gradients_by_differences():
 
 def test_positions_and_windows():
     x, of, real = language.windows([b"", b"a" * 64, b"b" * 65, b"c"])
-    assert of.tolist() == [1, 2, 2, 3] and real.tolist() == [64, 64, 1, 1] and x[0].tolist() == [97, 98, 98, 99] and x[1, 3] == 0
+    assert of.tolist() == [1, 2, 2, 3] and real.tolist() == [64, 64, 1, 1] and x.shape == (96, 4)
+    assert x[16].tolist() == [97, 98, 98, 99] and x[17, 3] == 0 and x[15].tolist() == [0, 0, 98, 0] and x[80].tolist() == [0, 98, 0, 0]
     net = language.train(["abc " * 40, "xyz " * 40], ["p", "q"], steps=3)
     p = language.label_positions(net, x.astype(np.intp))
-    assert p.shape == (64, 4, 2) and np.allclose(p.sum(axis=-1), 1, atol=1e-5)
-    whole = language.predict(net, ["abc" * 50])
-    assert whole[0] == pytest.approx(language.label_positions(net, language.windows([b"abc" * 50])[0].astype(np.intp)).transpose(1, 0, 2).reshape(-1, 2)[:150].mean(axis=0), abs=1e-4)
+    assert p.shape == (96, 4, 2) and np.allclose(p.sum(axis=-1), 1, atol=1e-5)
+
+
+def plain_probabilities(net, data):
+    """The network byte by byte, from its equations: each position from its window and the context around that."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    total = np.zeros(len(net.languages))
+    for a in range(0, len(data), 64):
+        piece = [data[k] if 0 <= k < len(data) else 0 for k in range(a - 16, a + 80)]
+        states = []
+        for d, order in enumerate((range(96), range(95, -1, -1))):
+            h, own = np.zeros(net.out.shape[0] // 2), {}
+            (tz, tr, tn), (uz, ur, un) = net.table[d].astype(float), net.state[d].astype(float)
+            for t in order:
+                z, r = sigmoid(tz[piece[t]] + h @ uz), sigmoid(tr[piece[t]] + h @ ur)
+                n = np.tanh(tn[piece[t]] + (r * h) @ un)
+                h = own[t] = n + z * (h - n)
+            states.append(own)
+        for t in range(16, 16 + min(64, len(data) - a)):
+            e = np.exp(np.concatenate([states[0][t], states[1][t]]) @ net.out + net.bias)
+            total += e / e.sum()
+    return total / len(data)
+
+
+def test_prediction_equals_a_plain_network():
+    net = language.train(["abc äöü " * 40, "xyz words " * 40, "ñandú luego " * 30], ["p", "q", "r"], steps=12)
+    texts = ["abc", "xyz words äö" * 20, "ñ" * 33, "a" * 64, "q" * 65 + "ü"]
+    assert language.predict(net, texts) == pytest.approx(np.array([plain_probabilities(net, t.encode()) for t in texts]), abs=2e-4)
+
+
+def test_training_reads_whole_texts(spark, monkeypatch):
+    """Only the ends of the texts tell the languages apart."""
+    filler = "0 1 2 3 4 5 6 7 8 9 a " * 20
+    data = [(k, filler + ("das ist nicht ein " if k % 2 else "this is not one of ") * 12, "de" if k % 2 else "en") for k in range(300)]
+    net = language.train_on(spark.createDataFrame(data, "doc_id long, text string, lang string"), 200, 2_000)
+    assert (language.predict(net, ["das ist nicht ein " * 5, "this is not one of " * 5]).argmax(axis=1) == [0, 1]).all()
 
 
 def test_language_of_held_out_documents(spark):
@@ -595,6 +700,36 @@ def test_language_of_awkward_rows(docs, rows, none):
     assert not language.has_letter("½ ² 12_") and language.has_letter("² a") and not language.has_letter(None)
 
 
+def test_statistics_of_a_text():
+    text = "The cat\nthe cat THE\n\n!? 12 é|"
+    got = dict(zip(quality.STATISTICS, quality.statistics(text), strict=True))
+    data, words = text.encode(), text.split()
+    n = len(data)
+    want = {"log_bytes": math.log(1 + n), "log_words": math.log(9), "word_length": sum(map(len, words)) / 8, "longest_word": 3, "distinct_words": 7 / 8, "doubled_words": 0, "capital_words": 1 / 8, "lines": math.log(4), "line_words": 8 / 3, "distinct_lines": 1}
+    want |= {"entropy": -sum(c / n * math.log2(c / n) for c in Counter(data).values()), "share_upper": 4 / n, "share_lower": 11 / n, "share_digit": 2 / n, "share_blank": sum(b in b" \n" for b in data) / n, "share_symbol": 1 / n, "share_bang": 2 / n, "share_high": 2 / n, "share_bar": 1 / n}
+    assert all(got[k] == pytest.approx(v) for k, v in want.items())
+    assert quality.statistics("")[:2] == [0, 0] and len(quality.statistics("")) == len(quality.STATISTICS)
+
+
+def test_splits_equal_brute_force():
+    """The best cut of each node by trying every statistic and every bin on the rows themselves."""
+    rng = np.random.default_rng(1)
+    x, node = rng.integers(0, quality.BINS, (400, 4)), rng.integers(0, 3, 400)
+    g, h = rng.normal(size=400) + 0.3 * (x[:, 2] > 20), rng.uniform(0.1, 0.3, 400)
+    feature, cut, gain = quality._split(x, g, h, node, 3)
+    worth = lambda at: g[at].sum() ** 2 / (h[at].sum() + quality.L2)
+    for k in range(3):
+        own, best = np.flatnonzero(node == k), (0.0, -1, 0)
+        for j in range(4):
+            for b in range(quality.BINS - 1):
+                low, high = own[x[own, j] <= b], own[x[own, j] > b]
+                if min(len(low), len(high)) >= quality.LEAST:
+                    best = max(best, (worth(low) + worth(high) - worth(own), j, b), key=lambda e: e[0])
+        assert (gain[k], feature[k]) == (pytest.approx(best[0]), best[1])
+        low = lambda b: set(own[x[own, best[1]] <= b])  # noqa: B023, E731
+        assert low(cut[k]) == low(best[2])
+
+
 def test_trees_equal_a_plain_walk():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 5))
@@ -631,7 +766,7 @@ def test_quality_of_awkward_rows(spark, docs, rows, none):
 def test_samples_are_bounded(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"))
     got = bounded_sample(df, "doc_id", 100).collect()
-    every = sorted(r["h"] for r in df.select(F.xxhash64("doc_id").alias("h")).collect())
+    every = sorted((r["h"] for r in df.select(F.xxhash64("doc_id").alias("h")).collect()), key=lambda h: h % 2**64)
     assert [r["h"] for r in got] == every[:100]
     assert bounded_sample(df.select(F.lit(1).alias("doc_id")), "doc_id", 100).count() == 100
 

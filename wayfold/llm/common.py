@@ -60,18 +60,20 @@ def parts(spark: SparkSession) -> int:
 
 
 def bounded_sample(rows: DataFrame, key: str, n: int, *ties: str) -> DataFrame:
-    """At most ``n`` rows: those whose hashed ``key`` is smallest (column ``h``), ordered by it and then by ``ties``.
+    """At most ``n`` rows: those whose hashed ``key`` (column ``h``), as a number without a sign, is smallest, ordered by
+    it and then by ``ties``.
 
-    A bound on the hash that lets about twice as many through comes first, so that what the tasks hand on for the final
-    order is in all a small multiple of ``n``, however many tasks there are.
+    A first pass, which reads the key alone, counts the hashes by their number of bits. The second one takes those of so
+    many bits as hold n rows, about 2 n at most, so that what the tasks hand on for the final order does not grow with
+    their number (many rows of one key may, by n rows a task).
     """
     hashed = rows.withColumn("h", F.xxhash64(key))
-    total, wanted = hashed.count(), 2 * n
-    while wanted < total:
-        bound = min(2**63 - 1, -(2**63) + (2**64 * wanted) // total)
-        some = hashed.where(F.col("h") <= F.lit(bound))
-        if some.count() >= n:
-            hashed = some
+    bits = F.length(F.bin("h"))  # 64 for a negative number
+    upto, least = 0, 64
+    for b, count in sorted(tuple(r) for r in hashed.groupBy(bits.alias("b")).count().collect()):  # 64 rows
+        upto += count
+        if upto >= n:
+            least = b
             break
-        wanted *= 4  # few distinct keys
-    return hashed.orderBy("h", *ties).limit(n)
+    some = hashed.where(F.shiftrightunsigned("h", least) == 0) if least < 64 else hashed
+    return some.orderBy(bits, "h", *ties).limit(n)

@@ -1,9 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Two recurrent layers of gated units, one per direction, read the bytes of a text in windows; from both states the
-network gives every byte position probabilities of the languages, and a document has the mean over its positions. All
-is numpy: training is backpropagation through time with Adam on a bounded sample of excerpts, and prediction walks the
-windows of many texts side by side, step by step, so every byte of every text is labelled in one narrow pass.
+Two recurrent layers of gated units, one per direction, read the bytes of a text in windows with some bytes of context
+on either side, so that a window's first and last positions are read in their surroundings; from both states the network
+gives every byte position probabilities of the languages, and a document has the mean over its positions. All is numpy:
+training is backpropagation through time with Adam on windows drawn from whole texts of a bounded sample of documents,
+and prediction walks the windows of many texts side by side, step by step, so every byte of every text is labelled in
+one narrow pass.
 
 Units, with x the byte (its three rows of the tables hold embedding, input weights and biases in one), h the state:
 z = sigmoid(Tz[x] + h Uz), r = sigmoid(Tr[x] + h Ur), n = tanh(Tn[x] + (r h) Un), h' = n + z (h - n).
@@ -20,12 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import bounded_sample, fresh, held_out
+from wayfold.llm.common import bounded_sample, fresh, held_out, keep
 from wayfold.llm.packing import grouped
 
-HIDDEN, WINDOW, ROWS = 8, 64, 2048
-#: Excerpts in the training sample (a bound that does not grow with the data) and their characters.
-SAMPLE, EXCERPT = 3_000, 256
+HIDDEN, WINDOW, CONTEXT, ROWS = 8, 64, 16, 2048
+#: Bounds that do not grow with the data: documents in the training sample, and windows drawn from their whole texts.
+SAMPLE, WINDOWS = 3_000, 60_000
 STEPS, BATCH, RATE = 160, 384, 0.02
 UNKNOWN = "und"
 #: The pipeline drops documents whose best language has a smaller mean probability.
@@ -65,16 +67,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def windows(coded: list[bytes], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes (width, n) of all windows of all texts, 0 beyond a text's end; the text and the real bytes of each."""
+def windows(coded: list[bytes], width: int = WINDOW, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes (width + 2 context, n) of all windows of all texts with their context, 0 beyond a text; the text of each
+    window and how many of its own bytes are real."""
     lengths = np.array([len(c) for c in coded], dtype=np.int64)
     n = -(-lengths // width)
-    flat = np.zeros(int(n.sum()) * width, dtype=np.uint8)
-    for at, c in zip(((np.cumsum(n) - n) * width).tolist(), coded, strict=True):
-        flat[at : at + len(c)] = np.frombuffer(c, dtype=np.uint8)
     of = np.repeat(np.arange(len(coded)), n)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    return flat.reshape(-1, width).T, of, np.minimum(width, lengths[of] - place * width)
+    place = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * width
+    flat = np.frombuffer(b"".join([*coded, b"\0"]), dtype=np.uint8)
+    at = place + np.arange(-context, width + context)[:, None]
+    inside = (at >= 0) & (at < lengths[of])
+    x = np.where(inside, flat[np.where(inside, at + (np.cumsum(lengths) - lengths)[of], 0)], 0).astype(np.uint8)
+    return x, of, np.minimum(width, lengths[of] - place)
 
 
 def _steps(net: Network, d: int, x: np.ndarray, keep: bool = False):
@@ -135,9 +139,9 @@ def predict(net: Network, texts: list[str]) -> np.ndarray:
     sums = np.zeros((len(texts), len(net.languages)))
     step = np.arange(WINDOW)[:, None]
     for a in range(0, len(of), ROWS):
-        p = label_positions(net, x[:, a : a + ROWS].astype(np.intp))
+        p = label_positions(net, x[:, a : a + ROWS].astype(np.intp))[CONTEXT : CONTEXT + WINDOW]
         if (real[a : a + ROWS] < WINDOW).any():
-            p *= (step < real[a : a + ROWS])[:, :, None]
+            p = p * (step < real[a : a + ROWS])[:, :, None]
         np.add.at(sums, of[a : a + ROWS], p.sum(axis=0))
     return sums / np.maximum(1, np.array([len(c) for c in coded]))[:, None]
 
@@ -174,15 +178,19 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray, weight: np.ndarray) ->
 
 
 def train(texts: list[str], langs: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = 7) -> Network | None:
-    """A network for the languages of ``langs``; None without texts. Rare languages weigh more, by the root of their share."""
-    names = sorted(set(langs))
-    coded = [t.encode("utf-8", "replace") for t in texts]
-    x, of, real = windows(coded)
+    """A network for the languages of ``langs``, from all windows of the texts."""
+    x, of, real = windows([t.encode("utf-8", "replace") for t in texts])
+    return train_windows(x, [langs[k] for k in of.tolist()], real, sorted(set(langs)), steps, hidden, seed)
+
+
+def train_windows(x: np.ndarray, langs: list[str], real: np.ndarray, names: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = 7) -> Network | None:
+    """A network from windows (L, n), their languages and how many bytes of each are real; None without windows. Rare
+    languages weigh more, by the root of their share."""
     full = np.flatnonzero(real >= WINDOW // 4)
     if not len(full):
         return None
     rng = np.random.default_rng(seed)
-    y = np.searchsorted(names, langs)[of]
+    y = np.searchsorted(names, langs)
     share = np.bincount(y[full], minlength=len(names)) / len(full)
     scale = 1 / np.sqrt(hidden)
     net = Network(
@@ -208,15 +216,28 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, hidden: int =
     return net
 
 
-def train_on(documents: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """Trains on at most ``sample`` excerpts of rows with a language that are not held out: the rows whose hashed
-    doc_id is smallest, and of each text ``EXCERPT`` characters from a place that the hash gives."""
-    rows = documents.where(~held_out("doc_id") & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
-    most = F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1
-    excerpt = F.substring("text", F.pmod(F.xxhash64("doc_id"), most).cast("int") + 1, F.lit(EXCERPT))
-    rows = bounded_sample(rows.withColumn("text", excerpt), "doc_id", sample, "text", "lang").select("text", "lang").collect()
-    rows = [r for r in rows if has_letter(r["text"])]
-    return train([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
+def train_on(documents: DataFrame, sample: int = SAMPLE, most_windows: int = WINDOWS) -> Network | None:
+    """Trains on at most ``sample`` documents with a language that are not held out, those whose hashed doc_id is
+    smallest, and of all windows of their whole texts on at most ``most_windows``, again by hash. Windows without a letter
+    are left out."""
+    rows = documents.where(~held_out("doc_id") & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    rows = keep(bounded_sample(rows, "doc_id", sample, "text", "lang"))
+    coded = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    n = F.ceil(F.octet_length(coded) / F.lit(WINDOW)).cast("int")
+    begin = F.greatest(F.col("i") * WINDOW - CONTEXT, F.lit(0))
+    piece = F.substring("coded", begin + 1, (F.col("i") + 1) * WINDOW + CONTEXT - begin)
+    real = F.least(F.lit(WINDOW), F.octet_length("coded") - F.col("i") * WINDOW)
+    cut = rows.select("lang", "h", coded.alias("coded"), F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("i"))
+    cut = cut.select("lang", F.struct("h", "i").alias("place"), piece.alias("piece"), (F.col("i") == 0).alias("first"), real.alias("real"))
+    found = [r for r in bounded_sample(cut, "place", most_windows, "piece", "lang").collect() if has_letter(bytes(r["piece"]).decode("utf-8", "ignore"))]
+    if not found:
+        return None
+    width = WINDOW + 2 * CONTEXT
+    # a text's first window has no bytes before it
+    padded = b"".join((b"\0" * (CONTEXT if r["first"] else 0) + bytes(r["piece"])).ljust(width, b"\0") for r in found)
+    x = np.frombuffer(padded, dtype=np.uint8).reshape(-1, width).T
+    langs = [r["lang"] for r in found]
+    return train_windows(x, langs, np.array([r["real"] for r in found]), sorted(set(langs)))
 
 
 def _judge(net: Network | None, texts: list[str | None]) -> pd.DataFrame:

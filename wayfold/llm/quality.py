@@ -163,7 +163,7 @@ def measure(documents: DataFrame) -> DataFrame:
 def train_on(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | None:
     """Trains on at most ``sample`` labelled documents that are not held out; of several labels the largest counts."""
     marks = labels.where(~held_out("doc_id") & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("y"))
-    rows = bounded_sample(measured.join(marks, "doc_id"), "doc_id", sample, "x").select("x", "y").collect()
+    rows = bounded_sample(keep(measured.join(marks, "doc_id")), "doc_id", sample, "x").select("x", "y").collect()
     return train(np.array([r["x"] for r in rows], dtype=float), np.array([r["y"] for r in rows], dtype=float)) if rows else None
 
 
