@@ -381,7 +381,8 @@ def keep_one(documents: DataFrame, shingle: int = STAGE_SHINGLE, words: int = WO
     roots = components(links(groups.select("node", *w), groups.count(), distance, w, total))
     rooted = groups.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     stay = keep(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row)))
-    return marked.join(stay, row, "left_semi").select(*documents.columns)
+    # by a shuffle at any size: the rows that stay grow with the documents
+    return marked.join(stay.hint("merge"), row, "left_semi").select(*documents.columns)
 
 
 def _fingerprint_udf(shingle: int, words: int):
