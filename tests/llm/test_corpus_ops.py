@@ -416,6 +416,26 @@ def test_a_notice_over_several_lines_is_found(spark):
     assert (row["template"], row["unit"], row["dice"]) == ("MIT/grant", "paragraph", 1.0)
 
 
+def test_notices_within_running_text_are_found(spark):
+    prose = " ".join(WORDS[k % len(WORDS)] for k in range(150))
+    grant, mit, bsd = (licences.TEMPLATES[k] for k in ("MIT/statement", "MIT/licence", "BSD-3-Clause/licence"))
+    broken = bsd.split()
+    texts = [f"{prose} Copyright X. {grant} All rights reserved. {prose}", f"{prose}\n" + "\n".join(re.findall(r".{1,70}(?: |$)", mit)) + f"\n{prose}", prose + " " + " ".join([*broken[:100], "inserted", "words", *broken[100:]]) + " " + prose, prose]
+    rows = licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["template"], r["unit"]) for r in rows] == [("MIT/statement", "window"), ("MIT/licence", "window"), ("BSD-3-Clause/licence", "window"), (None, None)]
+    assert rows[0]["dice"] == rows[1]["dice"] == 1 and rows[0]["place"] == 152 and rows[2]["dice"] > 0.95
+
+
+def test_markers_lose_no_match():
+    marks = set(licences.markers(licences.TEMPLATES, 0.8))
+    for text in licences.TEMPLATES.values():
+        own = licences.template_bigrams(text)
+        assert sum(not set(b.split()) & marks for b in own) < licences.least_common(len(own), 0.8)
+    for n in range(1, 50):
+        assert licences.least_common(n, 0.8) == min(c for m in range(1, 120) for c in range(min(n, m) + 1) if 2000 * c >= 800 * (n + m))
+    assert not marks & licences.COMMON
+
+
 def test_size_bounds_lose_nothing():
     for n in range(1, 60):
         low, high = licences.bounds(n, 0.8)
