@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import gaussian, geo
 from wayfold.operators import learning, mapmatch, motion, observations, paths
-from wayfold.operators.filters import METHODS, OFF, Tracker, filter_trace
-from wayfold.operators.network import CompactNetwork, RoadNetwork, grid_edges, segments_of
+from wayfold.operators import network as networks
+from wayfold.operators.filters import METHODS, NAMES, OFF, Cloud, Tracker, filter_fixes, filter_trace, initial_values
+from wayfold.operators.network import CompactNetwork, RoadNetwork, grid_edges, listed, segments_of
 from wayfold.operators.simulation import simulate_trace
 from wayfold.params import TrackingParameters
 
@@ -159,58 +160,224 @@ def test_filter_reaches_the_last_edge(method):
     t = Tracker(FORK, FORK_PARAMS, method)
     t.start(np.array([0.0, 0.0]), None)
     t.step(np.array([1.0, 3.0]), 1)
-    best = t.best(1)
-    assert best[2] and best[3] == 4 and (best[7], best[9]) == pytest.approx((1, 3), abs=0.1) and best[18][-1] == 4
-
-
-def test_guided_walk_gives_every_reachable_stretch(spark):
-    net = RoadNetwork(grid_edges(spark)).compact()
-    t = Tracker(net, TrackingParameters(path_search_bound=1620.0), "path_sampling")
-    t.start(np.array([500.0, 500.0]), None)
-    p = next(p for p in t.particles if p.on_road)
-    mean, cov = np.array([900.0, 30.0]), np.diag([75.0**2, 1.0])
-    found = {(int(segs[-1]), round(float(starts[-1]), 6)) for _, segs, starts in t._guided_paths(p, np.array([500.0, 500.0]), mean, cov)}
-    low, high = 900.0 - 1.95 * 75, 900.0 + 1.95 * 75
-    todo, seen = [(p.seg, float(net.start[p.seg]))], set()
-    while todo:
-        if (at := todo.pop()) in seen or at[1] > high:
+    best = dict(zip(NAMES, t.best(1), strict=True))
+    assert best["on_road"] and best["edge_id"] == 4 and (best["x"], best["y"]) == pytest.approx((1, 3), abs=0.1) and best["path"] == [0, 1, 3, 4]
+
+
+def crooked(seed=3, n=6):
+    """A grid with moved nodes and one-way streets, so that no two ways are equally long."""
+    rng = np.random.default_rng(seed)
+    at = {(i, j): (100 * i + rng.uniform(-30, 30), 100 * j + rng.uniform(-30, 30)) for i in range(n) for j in range(n)}
+    lines = []
+    for (i, j), p in at.items():
+        for q in ((i + 1, j), (i, j + 1)):
+            if q in at:
+                lines += [(p, at[q])] + ([(at[q], p)] if rng.random() < 0.8 else [])
+    return network(*lines)
+
+
+def plain_walk(net, p_seg, mean, cov, r, xy, bound):
+    """The guided walk by one particle, best first, with plain floats."""
+    import heapq
+
+    half = 1.959964 * math.sqrt(cov[0])
+    cap = mean[2] + bound
+    low, high, radius = min(max(0, mean[0] - half), cap), min(mean[0] + half, cap), 2.5 * math.sqrt(r * math.sqrt(2))
+
+    def likely(s, start):
+        n, u = net.seg_len[s], net.unit[s]
+        w = cov[0] / (cov[0] + n * n / 12)
+        own = min(max(mean[0] + w * (start + n / 2 - mean[0]) - start, 0), n)
+        c = cov[0] - w * w * (cov[0] + n * n / 12)
+        e = xy - net.p0[s] - u * own
+        m = r * np.eye(2) + c * np.outer(u, u)
+        return -math.log(2 * math.pi) - 0.5 * math.log(np.linalg.det(m)) - 0.5 * e @ np.linalg.solve(m, e), math.hypot(*e)
+
+    def turn(a, b):
+        cos = -float(net.unit[a] @ net.unit[b])
+        sharp = cos > 0 and min(net.edge_len[net.seg_edge[a]], net.edge_len[net.seg_edge[b]]) * math.sqrt(max(0, 1 - cos * cos)) < 15 and net.seg_edge[a] != net.seg_edge[b]
+        return math.log(0.1 if sharp else 0.9)
+
+    start = float(net.start[p_seg])
+    total = likely(p_seg, start)[0]
+    queue, out, done = [(-total, p_seg, start, 1, 0.0, -math.inf)], {}, set()
+    while queue:
+        total, s, start, steps, trans, before = heapq.heappop(queue)
+        total = -total
+        if (s, round(start, 3)) in done:
             continue
-        seen.add(at)
-        s, e = at[0], int(net.seg_edge[at[0]])
-        after = [s + 1] if s + 1 < net.first_seg[e] + net.n_segs[e] else [int(net.first_seg[f]) for f in net.out[int(net.to_node[e])]]
-        todo += [(k, round(at[1] + float(net.seg_len[s]), 6)) for k in after]
-    want = {(s, round(d, 6)) for s, d in seen if d + net.seg_len[s] >= low}
-    assert len(want) > 400 and want <= found
+        done.add((s, round(start, 3)))
+        end = start + net.seg_len[s]
+        if (start <= high and end >= low) or likely(s, start)[1] <= radius:
+            out[(s, round(start, 3))] = trans
+        if end > cap:
+            continue
+        for f in net.after[net.after_first[s] : net.after_first[s + 1]].tolist():
+            t = turn(s, f)
+            if steps + 1 > 2:
+                t = np.logaddexp(trans, t) - math.log(steps)
+            new = likely(f, end)[0] + t
+            if new >= total or before == -math.inf or new >= before:
+                heapq.heappush(queue, (-new, f, end, steps + 1, t, total))
+    return out
+
+
+@pytest.mark.parametrize("goal", [(330.0, 210.0), (60.0, 340.0), (480.0, 470.0)])
+def test_guided_walk_equals_a_plain_one(goal):
+    net, xy = crooked(), np.array(goal)
+    t = Tracker(net, TrackingParameters(particles=4, obs_cov=(150.0, 150.0)), "path_sampling")
+    t.start(np.array([110.0, 100.0]), None)
+    on = np.flatnonzero(t.cloud.seg != OFF)
+    mean, cov = np.tile([420.0, 14.0], (len(t.cloud), 1)), np.tile([60.0**2, 10.0, 1.0], (len(t.cloud), 1))
+    forest, turns = t._walked(t.cloud, on, xy, mean, cov)
+    for k in on.tolist():
+        own = np.flatnonzero((forest.owner == k) & forest.target)
+        got = {(int(forest.seg[i]), round(float(forest.start[i]), 3)): turns[i] for i in own}
+        want = plain_walk(net, int(t.cloud.seg[k]), (420.0, 14.0, float(t.cloud.mean[k, 0])), (60.0**2,), 150.0, xy, 1620.0)
+        assert want and set(got) == set(want)
+        assert all(got[s] == pytest.approx(want[s]) for s in want)
+
+
+def test_options_of_particle_learning_equal_plain_paths():
+    """Weights of all ends of paths, from the formulas, path by path."""
+    net, xy = crooked(), np.array([305.0, 190.0])
+    prm = TrackingParameters(particles=6, obs_cov=(150.0, 150.0))
+    t = Tracker(net, prm, "pl")
+    t.start(np.array([110.0, 100.0]), None)
+    t.cloud.mean[t.cloud.seg != OFF, 1] = 7.0
+    o = t.options(xy)
+    c = t.cloud
+    for k in np.flatnonzero(c.seg != OFF).tolist():
+        s0, m = int(c.seg[k]), np.array([[1, 30], [0, 1.0]]) @ c.mean[k, :2]
+        full = np.array([[c.cov[k, 0], c.cov[k, 1]], [c.cov[k, 1], c.cov[k, 2]]])
+        a, g = np.array([[1, 30], [0, 1.0]]), np.array([450.0, 30.0])
+        cov = a @ full @ a.T + c.road[k, 2] * np.outer(g, g)
+        r, e0 = c.obs[k, 2], int(net.seg_edge[s0])
+        every = np.arange(len(net.seg_len))
+        near = every[net.project(np.broadcast_to(xy, (len(every), 2)), every)[1] < prm.radius(r)]
+        found = []
+        for s in near.tolist():
+            e = int(net.seg_edge[s])
+            way = [e0] if e == e0 and s >= s0 else None
+            if way is None:
+                route = net.route(int(net.to_node[e0]), int(net.from_node[e]), prm.path_search_bound)
+                if route is None:
+                    continue
+                way = [e0, *route, e]
+            parts, before = [], 0.0
+            for j, f in enumerate(way):
+                for i in range(net.n_segs[f]):
+                    q = int(net.first_seg[f]) + i
+                    if (j == 0 and q < s0) or (j == len(way) - 1 and q > s):
+                        continue
+                    start, n, u = before + net.start[q], net.seg_len[q], net.unit[q]
+                    spread = cov[0, 0] + n * n / 12
+                    w = cov[:, 0] / spread
+                    d = m[0] + w[0] * (start + n / 2 - m[0])
+                    if not start - 1 <= d <= start + n + 1:
+                        continue
+                    density = -0.5 * (math.log(2 * math.pi * cov[0, 0]) + (d - m[0]) ** 2 / cov[0, 0])
+                    left = cov[0, 0] - w[0] ** 2 * spread
+                    e1 = xy - net.p0[q] - u * min(max(d - start, 0), n)
+                    s2 = r * np.eye(2) + left * np.outer(u, u)
+                    like = -math.log(2 * math.pi) - 0.5 * math.log(np.linalg.det(s2)) - 0.5 * e1 @ np.linalg.solve(s2, e1)
+                    parts.append((density, like + float(t._turn(np.array([s0]), np.array([q]))[0])))
+                before += net.edge_len[f]
+            if parts:
+                top = np.logaddexp.reduce([x for x, _ in parts])
+                found.append(np.logaddexp.reduce([x - top + y for x, y in parts]))
+        want = sorted(np.array(found) - math.log(len(found)) - math.log(2) + math.log(c.on[k, 2])) if found else []
+        own = (o.owner == k) & (o.kind == 1)
+        whole = own & np.isin(o.at, np.flatnonzero(o.forest.parent >= -1)[: len(o.forest.seg)])
+        assert sorted(o.log_w[whole]) == pytest.approx(want)
 
 
 def test_propagation_follows_the_road_and_leaves_at_a_dead_end():
     from dataclasses import replace
 
     calm = replace(FORK_PARAMS, on_road_cov=(0.0,), off_road_cov=(0.0, 0.0), on_probs=(math.inf, 1.0))
-    t = Tracker(FORK, calm)
-    t.start(np.array([0.0, 0.0]), None)
-    p = next(x for x in t.particles if x.on_road)
-    ends = {t.propagate(replace(p, mean=np.array([0.4, 1 / 40])), np.random.default_rng(k)).seg for k in range(5)}
-    assert ends == {0}
-    far = [t.propagate(replace(p, mean=np.array([0.0, 1.0])), np.random.default_rng(k)) for k in range(20)]
-    assert any(x.seg == 4 for x in far) and all(x.seg in (4, OFF) for x in far)
+
+    def moved(net, params, mean, seg=0, seed=0):
+        believed = initial_values(params)
+        one = Cloud(np.array([seg]), np.array([[*mean, 0.0, 0.0][:4]]), np.zeros((1, 3)), *(believed[k][None, :] for k in ("obs", "road", "ground", "on", "off")), [()])
+        out = Tracker(net, params, "bootstrap").propagate(one, np.random.default_rng(seed))
+        return int(out.seg[0]), out.mean[0]
+
+    assert {moved(FORK, calm, (0.4, 1 / 40), seed=k)[0] for k in range(5)} == {0}
+    far = [moved(FORK, calm, (0.0, 1.0), seed=k)[0] for k in range(20)]
+    assert 4 in far and set(far) <= {4, OFF}
     short = network(((0, 0), (1, 0)), ((1, 0), (1, 1)), ((1, 0), (1, -1)), ((1, 1), (1, 2)))
-    t = Tracker(short, calm)
-    off = t.propagate(replace(p, mean=np.array([0.0, 1.0])), np.random.default_rng(0))
-    assert off.seg == OFF and off.mean == pytest.approx((4, 1, 0, 0))
+    seg, mean = moved(short, calm, (0.0, 1.0))
+    assert seg == OFF and mean == pytest.approx((4, 1, 0, 0))
+    # certain to leave the road
+    leaving = replace(calm, on_probs=(1.0, CERTAIN), off_probs=(CERTAIN, 1.0))
+    seg, mean = moved(FORK, leaving, (0.0, 1.0))
+    assert seg == OFF and mean == pytest.approx((4, 1, 0, 0))
+    # from the ground onto the road, with the whole speed
+    onto = replace(calm, freq=1.0, obs_cov=(0.1, 0.1), off_probs=(1.0, math.inf))
+    ends = [moved(FORK, onto, (0.0, 1.0, 0.0, 2.0), seg=OFF, seed=k) for k in range(12)]
+    assert all(s in (3, 4) for s, _ in ends) and all(m[1] == pytest.approx(math.sqrt(5)) for _, m in ends)
+    # noise on the road never shortens a step
+    noisy = replace(calm, on_road_cov=(1e-2,))
+    assert min(moved(SQUARE, noisy, (10.0, 5.0), seed=k)[1][1] for k in range(30)) >= 5.0
 
 
 @pytest.mark.parametrize("method", METHODS)
 def test_filter_follows_a_simulated_vehicle(method):
-    params = TrackingParameters(obs_cov=(70, 70), off_probs=(1, CERTAIN), on_probs=(CERTAIN, 1), particles=15, seed=5)
+    """25 particles on a square loop; the bounds are those set for the model: 5 standard deviations in each component."""
+    params = TrackingParameters(obs_cov=(70, 70), off_probs=(1, CERTAIN), on_probs=(CERTAIN, 1), seed=5)
     trace = simulate_trace(SQUARE, params, 1, 60)
     seen, truth = np.array([r[3:5] for r in trace]), np.array([[r[9], r[11]] for r in trace])
     assert np.abs((seen - truth).mean(axis=0)).max() <= 2 * math.sqrt(70 * math.sqrt(2))
-    got = filter_trace(SQUARE, params, method, 1, seen, list(range(len(seen))))
-    assert len(got) == len(seen)
-    error = np.array([[r[7], r[9]] for r in got]) - truth
+    got = [dict(zip(NAMES, r, strict=True)) for r in filter_trace(SQUARE, params, method, 1, seen, list(range(len(seen))))]
+    assert len(got) == len(seen) and all(r["explained"] for r in got)
+    error = np.array([[r["x"], r["y"]] for r in got]) - truth
     assert np.abs(error.mean(axis=0)).max() <= 5 * math.sqrt(70)
-    assert np.sqrt((error**2).sum(axis=1).mean()) <= 5 * math.sqrt(70)
+    assert np.sqrt((error**2).sum(axis=1).mean()) <= 2.5 * math.sqrt(70)
+    assert np.linalg.norm(np.cov((seen - truth).T) - 70 * np.eye(2)) <= 0.7 * 70 * math.sqrt(2)
+    for r in got:  # paths join up and end on the state's edge
+        p = r["path"]
+        assert (p is None) != r["on_road"] and (p is None or (p[-1] == r["edge_id"] and all(SQUARE.to_node[e] == SQUARE.from_node[f] for e, f in zip(p, p[1:], strict=False))))
+    assert np.mean([r["on_road"] for r in got]) > 0.95
+
+
+def test_variances_are_learnt_over_edge_changes():
+    """At 30 s steps nearly every step changes edge; acceleration and measurement variances are learnt all the same."""
+    params = TrackingParameters(obs_cov=(70, 70), on_road_cov=(5e-3,), on_road_cov_dof=3.0, off_probs=(1, CERTAIN), on_probs=(CERTAIN, 1), seed=2)
+    calm = TrackingParameters(obs_cov=(70, 70), on_road_cov=(1e-6,), off_probs=(1, CERTAIN), on_probs=(CERTAIN, 1), seed=2)
+    trace = simulate_trace(SQUARE, calm, 1, 80)
+    got = filter_trace(SQUARE, params, "pl", 1, np.array([r[3:5] for r in trace]), list(range(80)))
+    at = NAMES.index("on_road_var")
+    assert np.median([r[at] for r in got[-20:]]) < 2.5e-3
+
+
+def test_hooks_replace_beliefs_and_learning():
+    from wayfold.operators.filters import learn_variance
+
+    asked = []
+    hooks = {"initial": lambda p: initial_values(p) | {"obs": np.array([20.0, 19.0, 1.0])}, "variance": lambda ig, e2, rng: asked.append(len(ig)) or learn_variance(ig, e2, rng), "switching": lambda c, stayed, rng: c}
+    got = filter_trace(SQUARE, TrackingParameters(obs_cov=(70, 70)), "pl", "veh0", np.array([[10.0, 1.0], [60.0, 0.0]]), [0, 1], hooks=hooks)
+    first = dict(zip(NAMES, got[0], strict=True))
+    assert first["obs_var"] == 1.0 and asked and {r[NAMES.index("p_on_on")] for r in got} == {0.95}
+
+
+def test_region_by_region_equals_the_whole_network(spark, monkeypatch):
+    net = RoadNetwork(grid_edges(spark))
+    rng = np.random.default_rng(0)
+    rows = [(f"veh{k}", i, float(60 * i + rng.normal(0, 5)), float(100 * k + rng.normal(0, 5)), f"note {i}") for k in range(3) for i in range(6)]
+    fixes = spark.createDataFrame(rows, "source_id string, record_number int, x double, y double, note string")
+    whole = sorted(map(repr, filter_fixes(fixes, net, TrackingParameters(particles=6)).collect()))
+    assert "note 5" in whole[-1] and "veh2" in whole[-1]
+    monkeypatch.setattr(networks, "BROADCAST_SEGMENTS", 100)
+    large = RoadNetwork(grid_edges(spark))
+    assert sorted(map(repr, filter_fixes(fixes, large, TrackingParameters(particles=6), reach=5_000.0).collect())) == whole
+    with pytest.raises(ValueError, match="too many"):
+        large.compact()
+
+
+def test_long_slanted_segments_are_listed_where_they_pass(spark):
+    one = spark.createDataFrame([(1, 0, 0.0, 0.0, 20_000.0, 20_000.0, math.hypot(2e4, 2e4), 0.0, math.hypot(2e4, 2e4), None)], "edge_id int, seg_idx int, x0 double, y0 double, x1 double, y1 double, seg_len double, start_dist double, edge_len double, next_seg_idx int")
+    assert listed(one, 60.0, 60.0).count() < 3_000
 
 
 def test_axis_filter_and_smoothing_limits():
@@ -235,8 +402,6 @@ def test_empty_tables(spark):
     net = RoadNetwork(grid_edges(spark))
     none = observations.linked(spark.createDataFrame([], "source_id long, ts timestamp, x double, y double"))
     assert none.count() == 0 and net.nearby(none, 10.0).count() == 0
-    from wayfold.operators.filters import filter_fixes
-
     assert filter_fixes(none, net, TrackingParameters()).count() == 0
 
 

@@ -36,7 +36,7 @@ def test_late_fixes_are_dropped_and_counted(spark, folder):
     rows = sorted(out.collect(), key=lambda r: (r["source_id"], r["record_number"]))
     assert [(r["source_id"], r["record_number"], r["late"]) for r in rows] == [(1, 0, 0), (1, 1, 0), (1, 2, 1), (2, 0, 0), (2, 1, 1)]
     batch = filter_trace(net.compact(), PARAMS, "pl", 1, np.array([[10.0, 1.0], [40.0, 0.0], [80.0, 2.0]]), [0, 1, 2])
-    assert [(r["x"], r["y"]) for r in rows[:3]] == [(b[7], b[9]) for b in batch]
+    assert [(r["x"], r["y"]) for r in rows[:3]] == [(b[6], b[8]) for b in batch]
 
 
 @pytest.mark.parametrize(("make", "expected"), [(tracking.drop_late, 6), (lambda s: tracking.windowed(s, "40 seconds", delay="1 second"), None)])

@@ -3,10 +3,10 @@
 An edge is directed: edge_id, from_node, to_node, geometry (array of struct(x, y)). A segment is one straight piece of
 an edge. The null edge stands for off-road and has no row.
 
-Nearby search is a join on grid cells: each segment is listed under the cells that its box, widened by the radius,
-touches; a point looks in its own cell; the exact distance is tested then. A network is sent to all tasks only if its
-segments number at most ``BROADCAST_SEGMENTS``; a larger one is joined by a shuffle on the cell, which splits a city
-into as many tasks as it has cells.
+Nearby search is a join on grid cells: each segment is listed under the cells that it passes within the radius; a point
+looks in its own cell; the exact distance is tested then. What is listed is sent to all tasks only if it numbers at most
+``BROADCAST_SEGMENTS`` rows; a larger network is joined by a shuffle on the cell, which splits a city into as many tasks
+as it has cells.
 """
 
 from __future__ import annotations
@@ -44,8 +44,19 @@ def segments_of(edges: DataFrame) -> DataFrame:
     return rows.select("*", before.alias("start_dist"), whole.alias("edge_len"), F.lead("seg_idx").over(w).alias("next_seg_idx"))
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / size), F.floor(high / size))
+def listed(segments: DataFrame, radius: float, size: float) -> DataFrame:
+    """A row for each segment and each cell (cell_x, cell_y: floor of x and y over ``size``) that lies within ``radius`` of
+    it. A segment is taken in pieces no longer than a cell, so a long slanted one is not listed all over its box."""
+    n = F.greatest(F.lit(1), F.ceil(F.col("seg_len") / size).cast("int"))
+    share = lambda i: (i / n).cast("double")
+    point = lambda c, i: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * share(i)
+    span = lambda c, i: F.sequence(F.floor((F.least(point(c, i), point(c, i + 1)) - radius) / size), F.floor((F.greatest(point(c, i), point(c, i + 1)) + radius) / size))
+    cells = lambda i: F.flatten(F.transform(span("x", i), lambda a: F.transform(span("y", i), lambda b: F.struct(a.alias("cell_x"), b.alias("cell_y")))))
+    # the middle of a cell within the radius lies no further off than that and half the cell's diagonal
+    t = lambda c: g.point_distance((c["cell_x"] + 0.5) * size, (c["cell_y"] + 0.5) * size, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    every = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), cells)))
+    kept = F.filter(every, lambda c: t(c) <= radius + 0.7072 * size)
+    return segments.select("*", F.explode(kept).alias("_cell")).select(*segments.columns, "_cell.cell_x", "_cell.cell_y")
 
 
 @dataclass
@@ -54,6 +65,7 @@ class RoadNetwork:
 
     edges: DataFrame
     _spark: SparkSession = field(init=False, repr=False)
+    _listed: dict = field(default_factory=dict, init=False, repr=False)
 
     def __post_init__(self) -> None:
         self._spark = self.edges.sparkSession
@@ -103,17 +115,25 @@ class RoadNetwork:
         e = self.edges.select(*(F.col(c).alias(f"edge_{c}") for c in self.edges.columns))
         return rows.join(self.sent(e), F.col(column) == F.col("edge_edge_id"), "left")
 
-    def nearby(self, points: DataFrame, radius: float, x: str = "x", y: str = "y") -> DataFrame:
-        """``points`` with every segment at a distance under ``radius``: the segment's columns and ``dist``."""
-        s = self.segments.withColumns(
-            {
-                "cell_x": F.explode(_cells(F.least("x0", "x1") - radius, F.greatest("x0", "x1") + radius, radius)),
-            }
-        ).withColumn("cell_y", F.explode(_cells(F.least("y0", "y1") - radius, F.greatest("y0", "y1") + radius, radius)))
+    def nearby(self, points: DataFrame, radius: float, x: str = "x", y: str = "y", within: Column | None = None) -> DataFrame:
+        """``points`` with every segment at a distance under ``radius``, or under a radius of each point's own (``within``,
+        at most ``radius``): the segment's columns and ``dist``. Only columns that are asked for are computed."""
+        s = listed(self.segments, radius, radius)
+        s = s.withColumns({"_ux": (F.col("x1") - F.col("x0")) / F.col("seg_len"), "_uy": (F.col("y1") - F.col("y0")) / F.col("seg_len")})
         p = points.withColumns({"cell_x": F.floor(F.col(x) / radius), "cell_y": F.floor(F.col(y) / radius)})
-        joined = p.join(self.sent(s), ["cell_x", "cell_y"]).drop("cell_x", "cell_y")
-        dist = g.point_distance(F.col(x), F.col(y), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-        return joined.withColumn("dist", dist).where(F.col("dist") < radius)
+        joined = p.join(self.sent(s) if self.n_listed(radius) <= BROADCAST_SEGMENTS else s, ["cell_x", "cell_y"])
+        dx, dy = F.col(x) - F.col("x0"), F.col(y) - F.col("y0")
+        t = F.greatest(F.lit(0.0), F.least(F.col("seg_len"), dx * F.col("_ux") + dy * F.col("_uy")))
+        ex, ey = dx - t * F.col("_ux"), dy - t * F.col("_uy")
+        d2 = ex * ex + ey * ey
+        limit = F.lit(radius) if within is None else within
+        return joined.where(d2 < limit * limit).withColumn("dist", F.sqrt(d2)).drop("cell_x", "cell_y", "_ux", "_uy")
+
+    def n_listed(self, radius: float) -> int:
+        """Rows that `nearby` would broadcast: segments times the cells that they pass."""
+        if radius not in self._listed:
+            self._listed[radius] = listed(self.segments, radius, radius).count()
+        return self._listed[radius]
 
     def segments_between(self, low: float, high: float) -> DataFrame:
         """Segments that begin in a part of their edge: start_dist >= low, up to the first beyond ``high``."""
@@ -175,9 +195,20 @@ class RoadNetwork:
         rows = self.edges.select("from_node", "to_node").collect()
         return {n: k for k, n in enumerate(sorted({r[0] for r in rows} | {r[1] for r in rows}))}
 
+    def around(self, fixes: DataFrame, reach: float) -> DataFrame:
+        """Of each source of ``fixes`` (source_id, x, y) all segments, with their edges' nodes, of the edges that pass
+        within ``reach`` of one of its fixes (and some a little further off)."""
+        cell = lambda c: F.floor(F.col(c) / reach)
+        beside = F.array(*(F.struct((F.col("cx") + i).alias("cell_x"), (F.col("cy") + j).alias("cell_y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+        seen = fixes.select("source_id", cell("x").alias("cx"), cell("y").alias("cy")).distinct().select("source_id", F.explode(beside).alias("c")).select("source_id", "c.*").distinct()
+        own = listed(self.segments, 0.0, reach).select("edge_id", "cell_x", "cell_y").distinct()
+        wanted = seen.join(own, ["cell_x", "cell_y"]).select("source_id", "edge_id").distinct()
+        whole = self.segments.join(self.edges.select("edge_id", "from_node", "to_node"), "edge_id")
+        return wanted.join(whole, "edge_id").select(F.col("source_id").alias("source_id"), "edge_id", "seg_idx", "x0", "y0", "x1", "y1", "seg_len", "start_dist", "edge_len", "from_node", "to_node")
+
     def compact(self) -> CompactNetwork:
-        """The network as arrays for the per-source filters, which search paths step by step. Its size is checked: it
-        must fit into every executor; split a larger one by region and run each region's sources against its part."""
+        """The network as arrays for what searches paths step by step. Its size is checked: it must fit into every
+        executor. The filters do without it beyond that size."""
         if self.n_segments > BROADCAST_SEGMENTS:
             raise ValueError(f"{self.n_segments} segments are too many to send to every executor; split the network by region")
         e = self.edges.select("edge_id", "from_node", "to_node").orderBy("edge_id").collect()
@@ -204,6 +235,8 @@ class CompactNetwork:
     cells: dict[tuple[int, int], np.ndarray]
     cell: float
     _trees: dict = field(default_factory=dict)
+    _fans: dict = field(default_factory=dict)
+    _loops: dict = field(default_factory=dict)
 
     @staticmethod
     def build(edges: list[tuple], segments: list[tuple], cell: float = 100.0) -> CompactNetwork:
@@ -239,6 +272,65 @@ class CompactNetwork:
             cell,
         )
 
+    @staticmethod
+    def of_rows(rows) -> CompactNetwork:
+        """From a pandas frame of segments with their edges' nodes (`RoadNetwork.around`)."""
+        rows = rows.sort_values(["edge_id", "seg_idx"], kind="stable")
+        first = rows.drop_duplicates("edge_id")
+        edges = list(zip(*(first[c].tolist() for c in ("edge_id", "from_node", "to_node")), strict=True))
+        columns = ("edge_id", "seg_idx", "x0", "y0", "x1", "y1", "seg_len", "start_dist", "edge_len")
+        return CompactNetwork.build(edges, list(zip(*(rows[c].tolist() for c in columns), strict=True)))
+
+    @cached_property
+    def unit(self) -> np.ndarray:
+        """Directions of the segments."""
+        return (self.p1 - self.p0) / self.seg_len[:, None]
+
+    @cached_property
+    def _followers(self) -> tuple[np.ndarray, np.ndarray]:
+        last = self.first_seg + self.n_segs - 1
+        lists = [[s + 1] if s < last[e] else [int(self.first_seg[f]) for f in self.out[int(self.to_node[e])]] for s, e in enumerate(self.seg_edge.tolist())]
+        return np.cumsum([0, *map(len, lists)]), np.array([s for own in lists for s in own], dtype=np.int64)
+
+    @property
+    def after_first(self) -> np.ndarray:
+        """Where the followers of each segment begin in `after`."""
+        return self._followers[0]
+
+    @property
+    def after(self) -> np.ndarray:
+        """Of each segment the next one of its edge, or the first ones of the edges that leave its end."""
+        return self._followers[1]
+
+    def loop(self, e: int, bound: float) -> float:
+        """Length of the shortest way round that comes back to an edge; infinite beyond the bound."""
+        if (e, bound) not in self._loops:
+            back = self.tree(int(self.to_node[e]), bound).get(int(self.from_node[e]))
+            self._loops[(e, bound)] = float(self.edge_len[e]) + back[0] if back else float("inf")
+        return self._loops[(e, bound)]
+
+    def fan(self, e: int, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """The segments of an edge, then those of all edges that begin within ``bound`` of its end, by least ways: the
+        segment, its distance from the start of the edge, the place of the segment before it (-1: none; always before
+        it), and how many are the edge's own."""
+        if (e, bound) not in self._fans:
+            own = np.arange(self.first_seg[e], self.first_seg[e] + self.n_segs[e])
+            segs, starts, parents = [own], [self.start[own]], [np.arange(-1, len(own) - 1)]
+            at, ends = len(own), {}
+            for node, (cost, by) in self.tree(int(self.to_node[e]), bound).items():
+                before = len(own) - 1 if by < 0 else ends[by]
+                for f in self.out[node]:
+                    mine = np.arange(self.first_seg[f], self.first_seg[f] + self.n_segs[f])
+                    segs.append(mine)
+                    starts.append(self.edge_len[e] + cost + self.start[mine])
+                    parents.append(np.append(before, np.arange(at, at + len(mine) - 1)))
+                    at += len(mine)
+                    ends[f] = at - 1
+            if len(self._fans) >= 2_000:
+                self._fans.clear()
+            self._fans[(e, bound)] = np.concatenate(segs), np.concatenate(starts), np.concatenate(parents), len(own)
+        return self._fans[(e, bound)]
+
     def project(self, p: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of points (n, 2) and segments: distance along each segment to the closest point, and the distance to it."""
         d = self.p1[seg] - self.p0[seg]
@@ -247,8 +339,9 @@ class CompactNetwork:
 
     def near(self, p: np.ndarray, radius: float) -> np.ndarray:
         """Segments at a distance under ``radius`` from a point, in order."""
-        lo, hi = np.floor((p - radius) / self.cell).astype(int), np.floor((p + radius) / self.cell).astype(int)
-        if (hi - lo + 1).prod() > len(self.cells):
+        wide = min(radius, 1e12)
+        lo, hi = np.floor((p - wide) / self.cell).astype(int), np.floor((p + wide) / self.cell).astype(int)
+        if not np.isfinite(radius) or (hi - lo + 1.0).prod() > len(self.cells):
             found = [np.arange(len(self.seg_len))]
         else:
             found = [self.cells[c] for x in range(lo[0], hi[0] + 1) for y in range(lo[1], hi[1] + 1) if (c := (x, y)) in self.cells]

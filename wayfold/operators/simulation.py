@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.operators.filters import OFF, Particle, Tracker, _dirichlet_mean
+from wayfold.operators.filters import OFF, Cloud, Tracker, initial_values
 from wayfold.operators.network import CompactNetwork, RoadNetwork
 from wayfold.params import TrackingParameters
 
@@ -24,22 +23,21 @@ def simulate_trace(net: CompactNetwork, params: TrackingParameters, source: int,
     rng = np.random.default_rng([params.seed & 0x7FFFFFFF, source & 0x7FFFFFFF])
     lo, hi = np.minimum(net.p0, net.p1).min(axis=0), np.maximum(net.p0, net.p1).max(axis=0)
     at = np.array(start) if start is not None else (lo + hi) / 2
-    stay_on, stay_off = _dirichlet_mean(*params.on_probs), _dirichlet_mean(*params.off_probs)
-    base = Particle(OFF, np.array([at[0], 0.0, at[1], 0.0]), np.zeros((4, 4)), (0, 0, params.obs_cov[0]), (0, 0, params.on_road_cov[0]), (0, 0, params.off_road_cov[0]), (*params.on_probs, stay_on), (*params.off_probs, stay_off))
-    p = base
-    if stay_on > 0 and stay_off < 1:
+    believed = initial_values(params)
+    p = Cloud(np.array([OFF]), np.array([[at[0], 0.0, at[1], 0.0]]), np.zeros((1, 3)), *(believed[k][None, :] for k in ("obs", "road", "ground", "on", "off")), [()])
+    if believed["on"][2] > 0 and believed["off"][2] < 1:
         every = np.arange(len(net.seg_len))
         d, far = net.project(np.broadcast_to(at, (len(every), 2)), every)
         ties = np.flatnonzero(far <= far.min() + 1e-9)
         s = int(ties[int(rng.integers(len(ties)))])
-        p = replace(base, seg=s, mean=np.array([net.start[s] + d[s], 0.0]), cov=np.zeros((2, 2)))
+        p.seg, p.mean = np.array([s]), np.array([[net.start[s] + d[s], 0.0, 0.0, 0.0]])
     out, ms = [], round(params.freq) * 1000
     for k in range(steps):
         if k:
             p = tracker.propagate(p, rng)
-        g = tracker.location(p)
+        g, s = tracker.grounded(p)[0], int(p.seg[0])
         z = g[[0, 2]] + math.sqrt(params.obs_cov[0]) * rng.standard_normal(2)
-        road = (True, int(net.edge_id[net.seg_edge[p.seg]]), float(p.mean[0]), float(p.mean[1])) if p.on_road else (False, None, None, None)
+        road = (True, int(net.edge_id[net.seg_edge[s]]), float(p.mean[0, 0]), float(p.mean[0, 1])) if s != OFF else (False, None, None, None)
         out.append((source, k, k * ms, float(z[0]), float(z[1]), *road, *map(float, g)))
     return out
 

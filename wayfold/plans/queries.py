@@ -28,9 +28,8 @@ OBS_COV = (100.0, 20.0, 50.0)
 PATH_LENGTH, HOPS = 250.0, 4
 KEY = ["source_id", "record_number"]
 
-#: The events jump about at random, so the learnt variances grow without bound: radii and searches are limited, and the
-#: particles are fewer than by default.
-FILTER = TrackingParameters(particles=5, obs_cov_threshold=40.0, state_cov_threshold=60.0, path_search_bound=600.0)
+#: The filters run with the defaults: 25 particles, searches within 1620 m, radii without a limit.
+FILTER = TrackingParameters()
 SIMULATION = TrackingParameters(obs_cov=(60.0, 60.0), off_probs=(1.0, 1.0), on_probs=(1.0, 1.0), freq=15.0, seed=21595857)
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.operators.filters import RESULT, Tracker, frame
+from wayfold.operators.filters import RESULT, Tracker, frame, source_number
 from wayfold.operators.network import RoadNetwork
 from wayfold.params import TrackingParameters
 
@@ -23,8 +23,8 @@ STATE = "tracker binary, last_us long, records int, late long"
 
 
 def track_stream(fixes: DataFrame, network: RoadNetwork, params: TrackingParameters, method: str = "pl", silence: str | None = None) -> DataFrame:
-    """A stream with source_id, ts (timestamp), x, y as a stream of `RESULT` rows with ``late``, the source's late fixes
-    so far. ``silence``: time-out in milliseconds of processing time."""
+    """A stream with source_id, ts (timestamp), x, y as a stream of source_id and `RESULT` rows with ``late``, the source's
+    late fixes so far. ``silence``: time-out in milliseconds of processing time."""
     sent = fixes.sparkSession.sparkContext.broadcast(network.compact())  # at most BROADCAST_SEGMENTS segments
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -32,9 +32,9 @@ def track_stream(fixes: DataFrame, network: RoadNetwork, params: TrackingParamet
             state.remove()
             return
         blob, last, records, late = state.get if state.exists else (None, None, 0, 0)
-        tracker = Tracker(sent.value, params, method, int(key[0]))
+        tracker = Tracker(sent.value, params, method, source_number(key[0]))
         if blob is not None:
-            tracker._set(*pickle.loads(blob))
+            tracker.restore(*pickle.loads(blob))
         rows = pd.concat(list(batches)).sort_values("us", kind="stable")
         out = []
         for us, x, y in zip(rows["us"].tolist(), rows["x"].tolist(), rows["y"].tolist(), strict=True):
@@ -48,14 +48,17 @@ def track_stream(fixes: DataFrame, network: RoadNetwork, params: TrackingParamet
                 tracker.step(xy, records)
             out.append(tracker.best(records))
             last, records = us, records + 1
-        state.update((pickle.dumps((tracker.particles, tracker.counts, tracker.log_w)), last, records, late))
+        state.update((pickle.dumps(tracker.state()), last, records, late))
         if silence:
             state.setTimeoutDuration(int(silence))
         if out:
-            yield frame(out).assign(late=late)
+            found = frame(out)
+            found.insert(0, "source_id", [key[0]] * len(found))
+            yield found.assign(late=late)
 
     thin = fixes.select("source_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "x", "y")
-    return thin.groupBy("source_id").applyInPandasWithState(run, RESULT + ", late long", STATE, "append", "ProcessingTimeTimeout" if silence else "NoTimeout")
+    kind = dict(fixes.dtypes)["source_id"]
+    return thin.groupBy("source_id").applyInPandasWithState(run, f"source_id {kind}, {RESULT}, late long", STATE, "append", "ProcessingTimeTimeout" if silence else "NoTimeout")
 
 
 def drop_late(fixes: DataFrame, delay: str = "10 minutes") -> DataFrame:
