@@ -387,6 +387,30 @@ def test_axis_filter_and_smoothing_limits():
     assert np.all(out[:, 2] * out[:, 4] >= out[:, 3] ** 2 - 1e-9)
 
 
+def test_ground_filter_over_batches(spark):
+    """A trace that comes in many Arrow batches is filtered as one."""
+    rng = np.random.default_rng(0)
+    data = [(k, i, float(x), float(y)) for k in range(3) for i, (x, y) in enumerate(rng.normal(0, 50, (40, 2)).cumsum(axis=0))]
+    df = spark.createDataFrame(data, "source_id long, record_number int, x double, y double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["source_id"], r["record_number"]): tuple(r)[2:] for r in motion.kalman_offroad(df, 30.0, 100.0, 1e-3).collect()}
+        states = {(r["source_id"], r["record_number"]): r["x"] for r in filter_fixes(df, RoadNetwork(grid_edges(spark, 3)), TrackingParameters(particles=3)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in range(3):
+        want = [motion.axis_filter(np.array([r[c] for r in data if r[0] == k]), 30.0, 100.0, 1e-3) for c in (2, 3)]
+        assert all(got[(k, i)] == pytest.approx((*want[0][i, :2], *want[1][i])) for i in range(40))
+    whole = {(r["source_id"], r["record_number"]): r["x"] for r in filter_fixes(df, RoadNetwork(grid_edges(spark, 3)), TrackingParameters(particles=3)).collect()}
+    assert states == whole
+
+
+def test_summaries_may_be_approximate(spark):
+    df = spark.range(1000).selectExpr("id % 2 AS k", "double(id) AS v")
+    exact, near = (learning.summary(df, "v", ["k"], a).orderBy("k").collect() for a in (None, 10_000))
+    assert [r["median"] for r in exact] == [499, 500] and all(abs(a["q3"] - b["q3"]) <= 2 for a, b in zip(exact, near, strict=True))
+
+
 def test_weights_and_moments(spark):
     df = spark.createDataFrame([(1, -1000.0), (1, -1001.0), (2, 0.0)], "k int, w double")
     got = learning.effective_size(learning.normalised(df, "w", ["k"]), ["k"]).orderBy("k").collect()
@@ -405,6 +429,21 @@ def test_empty_tables(spark):
     assert filter_fixes(none, net, TrackingParameters()).count() == 0
 
 
+def test_distances_by_rounds_equal_searches(spark, monkeypatch):
+    edges = grid_edges(spark, 5, 80.0)
+    want = sorted(map(tuple, RoadNetwork(edges).within(300.0).collect()))
+    monkeypatch.setattr(networks, "BROADCAST_SEGMENTS", 10)
+    assert sorted(map(tuple, RoadNetwork(edges).within(300.0).collect())) == want and len(want) > 100
+
+
+def test_paths_that_do_not_join_up_are_rejected(spark):
+    lines = lambda *ps: F.array(*(F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in p)) for p in ps))
+    one = spark.range(1)
+    assert [(p["x"], p["y"]) for p in one.select(paths.built(lines([(0, 0), (1, 0)], [(1, 0), (1, 2)]))).first()[0]] == [(0, 0), (1, 0), (1, 2)]
+    with pytest.raises(Exception, match="do not join up"):
+        one.select(paths.built(lines([(0, 0), (1, 0)], [(2, 0), (3, 0)]))).collect()
+
+
 @pytest.mark.parametrize(
     ("a", "b", "expected"),
     [
@@ -417,8 +456,21 @@ def test_empty_tables(spark):
         ([(0, 0), (1, 0)], [(5, 5), (6, 6)], None),
     ],
 )
-def test_merging_lines(a, b, expected):
-    assert paths.merge_lines(a, b) == expected
+def test_merging_lines(spark, a, b, expected):
+    df = spark.createDataFrame([([tuple(map(float, p)) for p in a], [tuple(map(float, p)) for p in b])], f"a {POINTS}, b {POINTS}")
+    m = df.select(paths.merged(F.col("a"), F.col("b")).alias("m")).first()["m"]
+    assert (([(p["x"], p["y"]) for p in m["points"]], m["reversed"]) if m else None) == expected
+
+
+def test_special_functions_are_exact():
+    import statistics
+
+    x = np.concatenate([np.linspace(-6, 26, 400), [0.0]])
+    assert gaussian.erfc(x) == pytest.approx(np.array([math.erfc(v) for v in x]), rel=1e-12)
+    p = np.concatenate([10.0 ** -np.arange(1, 200, 9), np.linspace(0.001, 0.999, 300)])
+    assert gaussian.quantile(p) == pytest.approx(np.array([statistics.NormalDist().inv_cdf(v) for v in p]), rel=1e-12, abs=1e-12)
+    far = gaussian.draw_truncated(np.array([0.0, 0.5, 1.0]), np.zeros(3), np.ones(3), np.full(3, 9.0), np.full(3, 9.5))
+    assert far[0] == 9.0 and 9.0 < far[1] < 9.2 and far[2] == pytest.approx(9.5)
 
 
 def test_drawing_from_a_truncated_normal():

@@ -25,6 +25,8 @@ def test_filters_give_a_state_per_fix(spark, sf, name):
     rows = QUERIES[name](spark, sf).collect()
     keys = {(r["source_id"], r["record_number"]) for r in rows}
     assert len(keys) == len(rows) == fixes(spark, sf).count()
+    assert {r["event_id"] for r in rows} == {r["event_id"] for r in fixes(spark, sf).select("event_id").collect()}
+    assert all(a == r["edge_id"] for r in rows if r["on_road"] for a in r["path"][-1:])
     assert all((r["edge_id"] is not None) == r["on_road"] for r in rows)
     assert all(1 - 1e-9 <= r["ess"] <= FILTER.particles + 1e-9 for r in rows)
     assert all(r["speed"] is None or r["speed"] >= 0 for r in rows)
@@ -40,10 +42,10 @@ def test_filters_do_not_depend_on_the_partitioning(spark, sf):
 
 
 def test_stream_equals_batch(spark, sf):
-    batch = sorted((tuple(r) for r in QUERIES["bootstrap_filter"](spark, sf).collect()), key=repr)
     stream = QUERIES["stream_filter"](spark, sf)
+    batch = QUERIES["bootstrap_filter"](spark, sf).select(*(c for c in stream.columns if c != "late"))
     assert set(stream.select("late").distinct().collect()) == {(0,)}
-    assert sorted((tuple(r) for r in stream.drop("late").collect()), key=repr) == batch
+    assert sorted((tuple(r) for r in stream.drop("late").collect()), key=repr) == sorted((tuple(r) for r in batch.collect()), key=repr)
 
 
 def test_plans_prune_and_push_down(spark, sf):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators.network import RoadNetwork, grid_edges
+from wayfold.params import TrackingParameters
 from wayfold.sources import networks, results, traces
 
 
@@ -30,6 +31,9 @@ def test_config(tmp_path):
     (tmp_path / "c.json").write_text(raw.replace("100, 100", "NaN"))
     with pytest.raises(ValueError, match="NaN"):
         traces.read_config(str(tmp_path / "c.json"))
+    (tmp_path / "c.json").write_text(raw.replace("100, 100", "100, 400"))
+    with pytest.raises(ValueError, match="axis"):
+        traces.read_config(str(tmp_path / "c.json"))
 
 
 def test_numbers_and_observations_from_json(spark):
@@ -42,14 +46,39 @@ def test_numbers_and_observations_from_json(spark):
 
 
 def test_results_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([(1, 0, True, 5.0, 1.0, 2.0, 0.0, 3.0, 0.0, [4]), (1, 1, False, None, None, 2.0, 0.5, 3.0, 0.0, None)], "source_id long, record_number int, on_road boolean, dist double, speed double, x double, vx double, y double, vy double, path array<int>")
-    results.write_results(df, str(tmp_path / "r"))
+    df = spark.createDataFrame([("veh0", 0, True, 25.0, 1.0, 500_100.0, 0.0, 4_500_000.0, 0.0, [0, 2], "a"), ("veh0", 1, False, None, None, 500_000.0, 0.5, 4_500_000.0, 0.0, None, "b")], "source_id string, record_number int, on_road boolean, dist double, speed double, x double, vx double, y double, vy double, path array<int>, note string")
+    net = RoadNetwork(spark.createDataFrame([(0, 0, 1, [(0.0, 0.0), (50.0, 0.0)]), (2, 1, 2, [(50.0, 0.0), (50.0, 30.0), (90.0, 30.0)])], "edge_id int, from_node int, to_node int, geometry array<struct<x: double, y: double>>"))
+    results.write_results(df, str(tmp_path / "r"), net, 32618)
     rows = spark.read.json(str(tmp_path / "r")).orderBy("record_number").collect()
-    assert rows[0]["state"]["state"] == [5.0, 1.0] and rows[1]["state"]["state"] == [2.0, 0.5, 3.0, 0.0]
+    assert rows[0]["state"]["state"] == [25.0, 1.0] and rows[1]["state"]["state"] == [500_000.0, 0.5, 4_500_000.0, 0.0]
+    assert rows[0]["state"]["path"] == [[0, 0], [50, 0], [50, 25]] and rows[1]["meanLocation"] == pytest.approx([40.65, -75.0], abs=0.01)
     back = results.read_results(spark, str(tmp_path / "r")).orderBy("record_number").collect()
-    assert [(r["x"], r["y"], r["on_road"], r["state"]["path"]) for r in back] == [(2.0, 3.0, True, [4]), (2.0, 3.0, False, None)]
+    assert [(r["source_id"], r["x"], r["y"], r["on_road"]) for r in back] == [("veh0", 500_100.0, 4_500_000.0, True), ("veh0", 500_000.0, 4_500_000.0, False)]
     said = [json.loads(r[0]) for r in df.select(results.state_json(df)).collect()]
-    assert said[0] == {"meanLocation": [2.0, 3.0], "state": {"state": [5.0, 1.0], "stateLoc": [2.0, 3.0], "path": None}}
+    assert said[0]["state"]["state"] == [25.0, 1.0] and said[0]["state"]["path"] is None
+
+
+def test_from_a_trace_file_to_results(spark, tmp_path):
+    """Sources with text ids, streets in degrees; the answers are near the fixes, in degrees, with the points of the path."""
+    streets = [(k, [(40.7, -74.0 + 0.001 * k), (40.7, -74.0 + 0.001 * (k + 1))]) for k in range(12)]
+    net = networks.from_lines(spark.createDataFrame(streets, "edge_id int, geometry array<struct<lat: double, lon: double>>"), project=True)
+    lines = [f";;;{v};40.70001;{-74.0 + 0.0005 + 0.0008 * i + 0.0001 * j};2024-01-01 10:{i // 2:02d}:{30 * (i % 2):02d};2.5" for j, v in enumerate(("veh0", "veh1")) for i in range(9)]
+    (tmp_path / "t.csv").write_text("a;b;c;id;lat;lon;time;v\n" + "\n".join(lines) + "\n")
+    out = results.track_file(spark, str(tmp_path / "t.csv"), net, TrackingParameters(particles=15, off_probs=(1.0, 99.0), on_probs=(99.0, 1.0)), str(tmp_path / "out"))
+    rows = sorted(out.collect(), key=lambda r: (r["source_id"], r["record_number"]))
+    assert [(r["source_id"], r["record_number"]) for r in rows] == [(v, i) for v in ("veh0", "veh1") for i in range(9)]
+    assert all(r["meanLocation"][0] == pytest.approx(40.7, abs=5e-4) for r in rows)
+    assert all(r["meanLocation"][1] == pytest.approx(-74.0 + 0.0005 + 0.0008 * r["record_number"], abs=1e-3) for r in rows)
+    on = [r for r in rows if r["on_road"]]
+    assert len(on) > 9 and all(r["state"]["path"][-1] == pytest.approx([r["x"], r["y"]], abs=1.5) for r in on)
+
+
+def test_a_network_behind_a_turn_graph(spark):
+    pairs = RoadNetwork(grid_edges(spark, 3))
+    e = pairs.edges.select("edge_id", "geometry")
+    turns = pairs.outgoing().join(e, "edge_id").join(e.select(F.col("edge_id").alias("out_edge_id"), F.col("geometry").alias("out_geometry")), "out_edge_id")
+    built = networks.from_turns(turns)
+    assert sorted(map(tuple, built.outgoing().collect())) == sorted(map(tuple, pairs.outgoing().collect()))
 
 
 def test_networks(spark, tmp_path):
@@ -59,7 +88,7 @@ def test_networks(spark, tmp_path):
     ways = spark.createDataFrame([(1, [10, 11, 12], False, True), (2, [12, 13], True, True), (3, [10, 13], False, False)], "way_id long, node_ids array<long>, one_way boolean, car_ok boolean")
     nodes = spark.createDataFrame([(10, 40.70, -74.0), (11, 40.701, -74.0), (12, 40.702, -74.0), (13, 40.702, -74.001)], "node_id long, lat double, lon double")
     built = networks.from_ways(ways, nodes)
-    assert sorted(r["edge_id"] for r in built.edges.collect()) == [2, 3, 4]
+    assert sorted((r["edge_id"], r["way_id"], r["from_osm"], r["to_osm"]) for r in built.edges.collect()) == [(2, 1, 10, 12), (3, 1, 12, 10), (4, 2, 12, 13)]
     assert {(r["edge_id"], r["out_edge_id"]) for r in built.outgoing().collect()} == {(2, 3), (2, 4), (3, 2)}
     turns = spark.createDataFrame([(2, 3, 0.0, True), (2, 4, 100.0, False)], "edge_id long, out_edge_id long, cost double, forbidden boolean")
     seconds = {(r["edge_id"], r["out_edge_id"]): r["seconds"] for r in networks.turn_costs(built, turns).collect()}

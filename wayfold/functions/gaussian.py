@@ -71,11 +71,6 @@ def truncated_mean(mean: np.ndarray, sd: np.ndarray, low: np.ndarray, high: np.n
     return truncated_moments(mean, sd, low, high)[0]
 
 
-@F.pandas_udf(DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    return pd.Series(phi(z.to_numpy(dtype=float)))
-
-
 @F.pandas_udf(DoubleType())
 def truncated_normal_mean(mean: pd.Series, sd: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
     return pd.Series(truncated_mean(*(s.to_numpy(dtype=float) for s in (mean, sd, low, high))))
@@ -123,6 +118,20 @@ def truncated_log_density(d: Column, mean: Column, variance: Column, low: Column
     return F.when((d < low) | (d > high), F.lit(float("-inf"))).otherwise(normal_log(d, law["mean"], law["variance"]))
 
 
+@F.pandas_udf(DoubleType())
+def dirichlet_log_density(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """Log density of the probability of the first of two outcomes."""
+    log_beta = np.array([math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+    x = p.to_numpy(dtype=float)
+    return pd.Series((a.to_numpy() - 1) * np.log(x) + (b.to_numpy() - 1) * np.log1p(-x) - log_beta)
+
+
+@F.pandas_udf(DoubleType())
+def truncated_quantile(u: pd.Series, mean: pd.Series, sd: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+    """The value below which a share ``u`` of a truncated normal lies."""
+    return pd.Series(draw_truncated(*(x.to_numpy(dtype=float) for x in (u, mean, sd, low, high))))
+
+
 def speed_given_distance(d: Column, mean_d: Column, mean_v: Column, c00: Column, c01: Column) -> Column:
     """Mean speed of a road state whose distance is known; at least 0."""
     return F.greatest(F.lit(0.0), mean_v + c01 / c00 * (d - mean_d))

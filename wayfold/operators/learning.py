@@ -54,8 +54,10 @@ def agreement(rows: DataFrame, found: Column, truth: Column, keys: list[str]) ->
     return rows.groupBy(*keys).agg(F.avg((found == truth).cast("double")).alias("agreement"), F.count(F.lit(1)).alias("n"))
 
 
-def summary(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Exact quartiles and range, mean and sample deviation."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+def summary(rows: DataFrame, value: str, keys: list[str], accuracy: int | None = None) -> DataFrame:
+    """Quartiles and range, mean and sample deviation. Exact quartiles keep all distinct values of a group; with an
+    ``accuracy`` they are approximate (to a share of 1 / accuracy of the rows) and merge in bounded memory."""
+    shares = [0.25, 0.5, 0.75]
+    q = F.percentile_approx(value, shares, accuracy) if accuracy else F.percentile(value, F.array(*map(F.lit, shares)))
     out = rows.groupBy(*keys).agg(F.min(value).alias("least"), q.alias("q"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     return out.select(*keys, "least", *(F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("q1", "median", "q3"))), "most", "mean", "sd")

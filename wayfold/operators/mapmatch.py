@@ -63,3 +63,22 @@ def road_covariance(cxx: Column, cxy: Column, cyy: Column) -> Column:
     """Variance along the segment of a covariance of places."""
     ux, uy = unit()
     return ux * ux * cxx + 2 * ux * uy * cxy + uy * uy * cyy
+
+
+def ground_belief(c00: Column, c01: Column, c11: Column) -> list[Column]:
+    """A road covariance expanded to the ground, by rows of the upper triangle of (x, vx, y, vy): the same for each axis,
+    which are independent."""
+    zero = F.lit(0.0)
+    return [c00, c01, zero, zero, c11, zero, zero, c00, c01, c11]
+
+
+def road_belief(rows: DataFrame, x: Column, vx: Column, y: Column, vy: Column, cov: tuple[Column, Column, Column], before: tuple[Column, Column, float] | None = None) -> DataFrame:
+    """Adds road_d, road_v and the covariance road_c00, road_c01, road_c11 of a ground belief whose axes share ``cov``.
+    ``before`` (x, y, time step): the speed is the displacement from there, with the sign of its direction."""
+    ux, uy = unit()
+    if before is not None:
+        px, py, t = before
+        vx, vy = (x - px) / t, (y - py) / t
+    both = ux * ux + uy * uy
+    found = road_from_ground(rows, x, vx, y, vy)
+    return found.withColumns({f"road_{n}": both * c for n, c in zip(("c00", "c01", "c11"), cov, strict=True)})

@@ -43,32 +43,47 @@ def observation_log_likelihood(x: Column, y: Column, px: Column, py: Column, var
     return gaussian.normal2_log(x - px, y - py, variance, zero, variance)
 
 
-def axis_filter(z: np.ndarray, t: float, r: float, q: float) -> np.ndarray:
-    """Filtered (place, speed, c00, c01, c11) after each measurement; the first starts the filter with speed 0."""
+def axis_filter(z: np.ndarray, t: float, r: float, q: float, before: tuple | None = None) -> np.ndarray:
+    """Filtered (place, speed, c00, c01, c11) after each measurement, going on from the row ``before``; without one the
+    first measurement starts the filter with speed 0."""
     out = np.empty((len(z), 5))
-    m0, m1, c = z[0], 0.0, initial_covariance(r, t)
-    out[0] = m0, m1, *c
-    for k in range(1, len(z)):
-        m0 = m0 + t * m1
-        p00, p01, p11 = predicted_covariance(c, t, q)
-        s = p00 + r
-        k0, k1, e = p00 / s, p01 / s, z[k] - m0
-        m0, m1 = m0 + k0 * e, m1 + k1 * e
-        c = (p00 - k0 * p00, p01 - k0 * p01, p11 - k1 * p01)
-        out[k] = m0, m1, *c
+    for k, x in enumerate(z.tolist()):
+        if before is None:
+            before = (x, 0.0, *initial_covariance(r, t))
+        else:
+            m0, m1, *c = before
+            m0 = m0 + t * m1
+            p00, p01, p11 = predicted_covariance(tuple(c), t, q)
+            s = p00 + r
+            k0, k1, e = p00 / s, p01 / s, x - m0
+            before = (m0 + k0 * e, m1 + k1 * e, p00 - k0 * p00, p01 - k0 * p01, p11 - k1 * p01)
+        out[k] = before
     return out
 
 
 def kalman_offroad(fixes: DataFrame, t: float, r: float, q: float) -> DataFrame:
     """The ground filter over each source's fixes in the order of record_number: source_id, record_number, x, vx, y, vy
-    and the axis covariance c00, c01, c11. One task holds one source's trace."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("record_number", kind="stable")
-        fx, fy = (axis_filter(rows[c].to_numpy(dtype=float), t, r, q) for c in ("x", "y"))
-        return pd.DataFrame({"source_id": rows["source_id"].to_numpy(), "record_number": rows["record_number"].to_numpy(), "x": fx[:, 0], "vx": fx[:, 1], "y": fy[:, 0], "vy": fy[:, 1], "c00": fx[:, 2], "c01": fx[:, 3], "c11": fx[:, 4]})
-
-    return fixes.select("source_id", "record_number", "x", "y").groupBy("source_id").applyInPandas(run, "source_id long, record_number int, x double, vx double, y double, vy double, c00 double, c01 double, c11 double")
+    and the axis covariance c00, c01, c11. A task takes a source's fixes in Arrow batches and carries the state along."""
+
+    def run(batches):
+        last, fx, fy = None, None, None
+        for rows in batches:
+            if not len(rows):
+                continue
+            sources = rows["source_id"].to_numpy()
+            cuts = np.flatnonzero(np.append(True, sources[1:] != sources[:-1]))
+            parts = []
+            for a, b in zip(cuts, np.append(cuts[1:], len(sources)), strict=True):
+                ends = (None, None) if last is None or sources[a] != last else (tuple(fx[-1]), tuple(fy[-1]))
+                fx, fy = (axis_filter(rows[c].to_numpy(dtype=float)[a:b], t, r, q, end) for c, end in zip(("x", "y"), ends, strict=True))
+                parts.append(np.concatenate([fx[:, :2], fy], axis=1))
+                last = sources[a]
+            found = pd.DataFrame(np.concatenate(parts), columns=["x", "vx", "y", "vy", "c00", "c01", "c11"])
+            yield pd.concat([rows[["source_id", "record_number"]].reset_index(drop=True), found], axis=1)
+
+    kind = dict(fixes.dtypes)["source_id"]
+    dealt = fixes.select("source_id", "record_number", "x", "y").repartition("source_id").sortWithinPartitions("source_id", "record_number")
+    return dealt.mapInPandas(run, f"source_id {kind}, record_number int, x double, vx double, y double, vy double, c00 double, c01 double, c11 double")
 
 
 def edge_predictive(d: Column, v: Column, c00: Column, c01: Column, c11: Column, start: Column, length: Column, t: float) -> tuple[Column, Column, Column, Column, Column]:

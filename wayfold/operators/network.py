@@ -16,10 +16,12 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as g
+from wayfold.storage import kept
 
 #: A segment takes about 100 bytes: at most 50 MB are broadcast.
 BROADCAST_SEGMENTS = 500_000
@@ -174,26 +176,50 @@ class RoadNetwork:
             known = known.unionAll(step).groupBy("node", "other").agg(F.min("cost").alias("cost"))
         return known
 
+    def within(self, bound: float) -> DataFrame:
+        """(node, other, cost): least travel length between nodes no further apart than ``bound``; as many rows as there
+        are such pairs. A network small enough to be sent is searched node by node; otherwise rounds of one edge each are
+        written to the shared folder until none gets shorter."""
+        nodes = self.edges.select(F.col("from_node").alias("node")).union(self.edges.select("to_node")).distinct()
+        if self.n_segments <= BROADCAST_SEGMENTS:
+            sent = self._spark.sparkContext.broadcast(self.compact())
+
+            def run(batches):
+                net = sent.value
+                for batch in batches:
+                    trees = [(k, net.tree(net.numbers[k], bound)) for k in batch["node"].tolist()]
+                    rows = [(k, net.nodes[other], cost) for k, tree in trees for other, (cost, _) in tree.items()]
+                    yield pd.DataFrame(rows, columns=["node", "other", "cost"])
+
+            kind = dict(nodes.dtypes)["node"]
+            return nodes.mapInPandas(run, f"node {kind}, other {kind}, cost double")
+        e = self.edges.select("from_node", "to_node", g.line_length(F.col("geometry")).alias("len"))
+        e = kept(e.groupBy("from_node", "to_node").agg(F.min("len").alias("len")))
+        known = kept(nodes.select("node", F.col("node").alias("other"), F.lit(0.0).alias("cost"), F.lit(True).alias("new")))
+        while True:
+            step = known.where("new").join(e, F.col("other") == e["from_node"]).select("node", F.col("to_node").alias("other"), (F.col("cost") + F.col("len")).alias("cost"))
+            every = known.select("node", "other", "cost", F.lit(0).alias("round")).unionAll(step.where(F.col("cost") <= bound).withColumn("round", F.lit(1)))
+            least = every.groupBy("node", "other").agg(F.min(F.struct("cost", "round")).alias("best"))
+            known = kept(least.select("node", "other", "best.cost", (F.col("best.round") == 1).alias("new")))
+            if known.where("new").isEmpty():
+                return known.drop("new")
+
     def routes(self, pairs: DataFrame, bound: float) -> DataFrame:
         """``pairs`` (node, other, whatever else) with the edges of the least-length way between the nodes and its
         length; null beyond the bound. Searches share their trees within a task, so nodes are kept together."""
         sent = self._spark.sparkContext.broadcast(self.compact())  # at most BROADCAST_SEGMENTS segments
-        numbers = self.node_numbers()
 
         def run(batches):
             net = sent.value
+            numbers = net.numbers
             for batch in batches:
                 at = [(numbers.get(a), numbers.get(b)) for a, b in zip(batch["node"].tolist(), batch["other"].tolist(), strict=True)]
                 found = [net.route(a, b, bound) if a is not None and b is not None else None for a, b in at]
                 yield batch.assign(way=[None if w is None else [int(net.edge_id[e]) for e in w] for w in found], length=[None if w is None else float(sum(net.edge_len[e] for e in w)) for w in found])
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-        return pairs.repartition("node").mapInPandas(run, schema + ", way array<int>, length double")
-
-    def node_numbers(self) -> dict:
-        """Node ids by their place in `CompactNetwork`; no more than two per edge, whose number is checked there."""
-        rows = self.edges.select("from_node", "to_node").collect()
-        return {n: k for k, n in enumerate(sorted({r[0] for r in rows} | {r[1] for r in rows}))}
+        # by node and one of a few numbers, so that a node of many pairs is split
+        return pairs.repartition("node", F.pmod(F.xxhash64("other"), F.lit(16))).mapInPandas(run, schema + ", way array<int>, length double")
 
     def around(self, fixes: DataFrame, reach: float) -> DataFrame:
         """Of each source of ``fixes`` (source_id, x, y) all segments, with their edges' nodes, of the edges that pass
@@ -234,6 +260,8 @@ class CompactNetwork:
     out: list[list[int]]
     cells: dict[tuple[int, int], np.ndarray]
     cell: float
+    #: the nodes' own ids, in order of their numbers
+    nodes: list
     _trees: dict = field(default_factory=dict)
     _fans: dict = field(default_factory=dict)
     _loops: dict = field(default_factory=dict)
@@ -270,6 +298,7 @@ class CompactNetwork:
             leaving,
             {k: np.array(v) for k, v in cells.items()},
             cell,
+            list(nodes),
         )
 
     @staticmethod
@@ -281,6 +310,11 @@ class CompactNetwork:
         columns = ("edge_id", "seg_idx", "x0", "y0", "x1", "y1", "seg_len", "start_dist", "edge_len")
         return CompactNetwork.build(edges, list(zip(*(rows[c].tolist() for c in columns), strict=True)))
 
+    @cached_property
+    def numbers(self) -> dict:
+        """Numbers of the nodes by their own ids."""
+        return {n: k for k, n in enumerate(self.nodes)}
+
     @cached_property
     def unit(self) -> np.ndarray:
         """Directions of the segments."""
@@ -381,6 +415,16 @@ class CompactNetwork:
         return way[::-1]
 
 
+def search_cost(travelled: Column, length: Column, so_far: Column) -> Column:
+    """Cost of a piece of road in a path search for a distance travelled: what it overshoots; nothing before that."""
+    return F.abs(F.least(F.lit(0.0), travelled - (length + so_far)))
+
+
+def search_heuristic(distance: Column, sd: Column, speed: float = 15.0) -> Column:
+    """Least time from a place to one about which there is a doubt of ``sd`` metres."""
+    return F.greatest(F.lit(0.0), distance - sd) / speed
+
+
 def grid_edges(spark: SparkSession, nodes: int = 11, spacing: float = 100.0, pieces: int = 2) -> DataFrame:
     """Edges of a square grid in both directions: east, west, north, south in turn, each of ``pieces`` segments."""
     streets = nodes * (nodes - 1)

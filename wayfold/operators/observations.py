@@ -30,11 +30,6 @@ def linked(fixes: DataFrame, *ties: str) -> DataFrame:
     return fixes.select("*", (F.row_number().over(w) - 1).alias("record_number"), F.lag("x").over(w).alias("prev_x"), F.lag("y").over(w).alias("prev_y"))
 
 
-def deduplicated(fixes: DataFrame) -> DataFrame:
-    """A fix is known by (source, time); one of equal ones stays."""
-    return fixes.dropDuplicates(["source_id", "ts"])
-
-
 def in_extent(fixes: DataFrame, extent: DataFrame) -> DataFrame:
     """Adds in_extent; rows outside stay, as the flag only warns. ``extent`` has one row."""
     box = extent.first()

@@ -43,11 +43,21 @@ def _point(points: Column, k: int) -> Column:
     return F.element_at(points, k + 1 if k >= 0 else k)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def lengths_to(points: Column) -> Column:
+    """The distance of each point of a path from the first, along the path."""
+    n = F.size(points)
+    steps = F.transform(F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>")), lambda i: g.distance(F.get(points, i)["x"], F.get(points, i)["y"], F.get(points, i + 1)["x"], F.get(points, i + 1)["y"]))
+    return F.aggregate(steps, F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
 def edge_at(points: Column, a: Column) -> Column:
     """Number of the piece of a path that holds the distance ``a`` from its first point; the later one where two meet."""
-    n = F.size(points)
-    lengths = F.transform(F.sequence(F.lit(0), n - 2), lambda i: g.line_length(F.slice(points, F.lit(1), i + 1)))
-    return F.size(F.filter(lengths, lambda s: s <= a)) - 1
+    return F.size(F.filter(F.slice(lengths_to(points), F.lit(1), F.size(points) - 1), lambda s: s <= a)) - 1
 
 
 def difference(to_points: Column, to_d: Column, to_v: Column, to_back: Column, from_points: Column, from_d: Column, from_v: Column, from_back: Column) -> tuple[Column, Column]:
@@ -95,50 +105,104 @@ def convert(points: Column, d: Column, v: Column, back: Column, onto: Column, on
 
 def movement(points: Column, a: Column, b: Column) -> Column:
     """Points of a path between two distances from its first point."""
-    n = F.size(points)
-    upto = lambda i: g.line_length(F.slice(points, F.lit(1), i + 1))
-    inner = F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(upto(i).alias("s"), F.get(points, i).alias("p"))), lambda e: (e["s"] > a) & (e["s"] < b))
 
-    def at(d: Column) -> Column:
-        k = F.least(edge_at(points, d), n - 2)
-        p, q = F.get(points, k), F.get(points, k + 1)
-        x, y = g.at(d - upto(k), p["x"], p["y"], q["x"], q["y"])
-        return F.struct(x.alias("x"), y.alias("y"))
+    def part(p: Column, s: Column) -> Column:
+        def at(d: Column) -> Column:
+            k = F.greatest(F.lit(0), F.least(F.size(F.filter(s, lambda x: x <= d)), F.size(p) - 1) - 1)
+            x, y = g.at(d - F.get(s, k), F.get(p, k)["x"], F.get(p, k)["y"], F.get(p, k + 1)["x"], F.get(p, k + 1)["y"])
+            return F.struct(x.alias("x"), y.alias("y"))
 
-    return F.concat(F.array(at(a)), F.transform(inner, lambda e: e["p"]), F.array(at(b)))
+        inner = F.filter(F.arrays_zip(s.alias("s"), p.alias("p")), lambda e: (e["s"] > a) & (e["s"] < b))
+        return F.concat(F.array(at(a)), F.transform(inner, lambda e: e["p"]), F.array(at(b)))
 
+    return _let(points, lambda p: _let(lengths_to(p), lambda s: part(p, s)))
 
-def merge_lines(a: list[tuple], b: list[tuple]) -> tuple[list[tuple], bool] | None:
-    """One line that holds both, in the direction of ``a``, and whether ``b`` runs the other way; None if they neither
-    overlap nor meet. A longer overlap wins; the same direction wins over the reversed one."""
 
-    def joined(p: list[tuple], q: list[tuple]) -> tuple[int, list[tuple]] | None:
-        n, m = len(p), len(q)
-        best = None
-        for shift in range(-(m - 1), n):  # q begins at place ``shift`` of p
-            lo, hi = max(0, shift), min(n, shift + m)
-            if p[lo:hi] == q[lo - shift : hi - shift] and (best is None or hi - lo > best[0]):
-                best = hi - lo, (q[: max(0, -shift)] + p + q[n - shift :] if shift + m > n else q[: max(0, -shift)] + p)
-        return best
+def merged(a: Column, b: Column) -> Column:
+    """One line that holds both, in the direction of ``a``, and whether ``b`` runs the other way: struct(points, reversed),
+    null where the lines neither overlap nor meet. A longer overlap wins; the same direction wins over the reversed one,
+    and of equal overlaps the one where ``b`` begins earlier."""
+    begins = F.when(F.size(b) > 0, F.sequence(1 - F.size(b), F.size(a) - 1))
 
-    same, other = joined(a, b), joined(a, b[::-1])
-    if same is None and other is None:
-        return None
-    if other is None or (same is not None and same[0] >= other[0]):
-        return same[1], False
-    return other[1], True
+    def joined(q: Column, turned: bool) -> Column:
+        """The longest overlap of ``a`` with q, which begins at place ``at`` of ``a``."""
 
+        def one(at: Column) -> Column:
+            low, high = F.greatest(F.lit(0), at), F.least(F.size(a), at + F.size(q))
+            same = F.slice(a, low + 1, high - low) == F.slice(q, low - at + 1, high - low)
+            return F.struct(F.when(same, high - low).otherwise(F.lit(0)).alias("n"), F.lit(not turned).alias("forth"), (-at).alias("before"))
 
-def merged(a: Column, b: Column) -> Column:
-    """`merge_lines` as a column: struct(points, reversed), null where the lines do not meet."""
-    schema = "points array<struct<x: double, y: double>>, reversed boolean"
+        return F.array_max(F.transform(begins, one))
+
+    back = F.reverse(b)
+    best = F.greatest(joined(b, False), joined(back, True))
+
+    def line(x: Column) -> Column:
+        at, q = -x["before"], F.when(x["forth"], b).otherwise(back)
+        tail = F.size(a) - at
+        ends = F.when(tail < F.size(q), F.slice(q, tail + 1, F.size(q))).otherwise(F.slice(q, 1, 0))
+        return F.struct(F.concat(F.slice(q, 1, F.greatest(F.lit(0), -at)), a, ends).alias("points"), (~x["forth"]).alias("reversed"))
+
+    some = F.when(best["n"] > 0, best)
+    return F.when(some.isNotNull(), F.get(F.transform(F.array(some), line), F.lit(0)))
+
+
+def contiguous(lines: Column) -> Column:
+    """Whether each of an array of lines begins where the one before ends."""
+    end = lambda k: F.element_at(F.get(lines, k), -1)
+    begin = lambda k: F.get(F.get(lines, k), F.lit(0))
+    n = F.size(lines)
+    steps = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
+    return F.forall(steps, lambda k: (end(k)["x"] == begin(k + 1)["x"]) & (end(k)["y"] == begin(k + 1)["y"]))
+
+
+def built(lines: Column) -> Column:
+    """The points of a path of lines, each joint once. Lines that do not join up are an error."""
+    rest = F.flatten(F.transform(lines, lambda p, k: F.when(k == 0, p).otherwise(F.slice(p, 2, F.greatest(F.lit(0), F.size(p) - 1)))))
+    return F.when(contiguous(lines), rest).otherwise(F.raise_error(F.lit("the lines of a path do not join up")))
+
+
+def geometry_of(walks: DataFrame, network, path: str = "path") -> DataFrame:
+    """``walks`` with ``lines``, the lines of the edges of ``path`` (ids) in order; edges that are not there are left out.
+    Walks are told apart by all their columns."""
+    key = "_walk"
+    numbered = walks.withColumn(key, F.struct(*walks.columns))
+    legs = numbered.select(key, F.posexplode(path).alias("at", "edge_id")).join(network.sent(network.edges.select("edge_id", "geometry")), "edge_id")
+    lines = legs.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "geometry"))), lambda x: x["geometry"]).alias("lines"))
+    return lines.select(f"{key}.*", "lines")
+
+
+def path_to(points: Column, d: Column) -> Column:
+    """The part of a path up to a distance from its first point."""
+    return movement(points, F.lit(0.0), d)
+
+
+def path_from(points: Column, k: Column) -> Column:
+    """The part of a path from its k-th piece on."""
+    return F.slice(points, k + 1, F.size(points))
+
+
+def clamp_to_edge(d: Column, start: Column, length: Column, nudge: float = 1e-4) -> Column:
+    """A distance pulled onto an edge, a little inside it; one that lies on it stays."""
+    return F.when(d - start < 0, start + nudge).when(d - start > length, start + length - nudge).otherwise(d)
+
+
+def plus(a: tuple[Column, Column], b: tuple[Column, Column], scale: float = 1.0) -> tuple[Column, Column]:
+    """A path state (distance, speed) plus a multiple of another's; states on different paths are converted before."""
+    return a[0] + scale * b[0], a[1] + scale * b[1]
+
+
+def dot(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1]
+
+
+def norm(a: tuple[Column, Column]) -> Column:
+    return F.sqrt(dot(a, a))
 
-    @F.udf(schema, useArrow=True)
-    def merge(p, q):
-        found = merge_lines([(v["x"], v["y"]) for v in p], [(v["x"], v["y"]) for v in q]) if p and q else None
-        return (found[0], found[1]) if found else None
 
-    return merge(a, b)
+def ordered(points: Column, d: Column, v: Column) -> Column:
+    """What states on paths are ordered by: the path's points, then distance and speed."""
+    return F.struct(F.transform(points, lambda p: F.struct(p["x"], p["y"])).alias("points"), d.alias("d"), v.alias("v"))
 
 
 def against(v: Column, to_x: Column, to_y: Column, from_x: Column, from_y: Column) -> Column:

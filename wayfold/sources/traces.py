@@ -92,6 +92,9 @@ def read_config(path: str) -> tuple[dict, TrackingParameters]:
         as_number = int if own in ("seed", "particles") else float
         given[own] = tuple(float(v) for v in value) if isinstance(value, list) else as_number(value)
     params = replace(TrackingParameters(), **given)
+    for name in ("obs_cov", "off_road_cov"):
+        if len(set(getattr(params, name))) > 1:
+            raise ValueError(f"{name}: variances that differ by axis are not supported")
     if any(math.isnan(v) for v in (*params.obs_cov, *params.on_probs, *params.off_probs)):
         raise ValueError("NaN in the configuration")
     return raw, params
