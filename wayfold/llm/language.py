@@ -74,11 +74,14 @@ def windows(coded: list[bytes], width: int = WINDOW, context: int = CONTEXT) ->
     n = -(-lengths // width)
     of = np.repeat(np.arange(len(coded)), n)
     place = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * width
-    flat = np.frombuffer(b"".join([*coded, b"\0"]), dtype=np.uint8)
-    at = place + np.arange(-context, width + context)[:, None]
-    inside = (at >= 0) & (at < lengths[of])
-    x = np.where(inside, flat[np.where(inside, at + (np.cumsum(lengths) - lengths)[of], 0)], 0).astype(np.uint8)
-    return x, of, np.minimum(width, lengths[of] - place)
+    # each text in a room of its own with the context's zeros on both sides
+    rooms = n * width + 2 * context
+    first = np.cumsum(rooms) - rooms
+    flat = np.zeros(int(rooms.sum()) + width + 2 * context, dtype=np.uint8)
+    for at, c in zip((first + context).tolist(), coded, strict=True):
+        flat[at : at + len(c)] = np.frombuffer(c, dtype=np.uint8)
+    x = np.lib.stride_tricks.sliding_window_view(flat, width + 2 * context)[first[of] + place]
+    return x.T, of, np.minimum(width, lengths[of] - place)
 
 
 def _steps(net: Network, d: int, x: np.ndarray, keep: bool = False):
@@ -139,7 +142,7 @@ def predict(net: Network, texts: list[str]) -> np.ndarray:
     sums = np.zeros((len(texts), len(net.languages)))
     step = np.arange(WINDOW)[:, None]
     for a in range(0, len(of), ROWS):
-        p = label_positions(net, x[:, a : a + ROWS].astype(np.intp))[CONTEXT : CONTEXT + WINDOW]
+        p = label_positions(net, x[:, a : a + ROWS].astype(np.intp, order="C"))[CONTEXT : CONTEXT + WINDOW]
         if (real[a : a + ROWS] < WINDOW).any():
             p = p * (step < real[a : a + ROWS])[:, :, None]
         np.add.at(sums, of[a : a + ROWS], p.sum(axis=0))
