@@ -166,7 +166,11 @@ def _pairs(words: Column) -> Column:
 
 
 def _strings(values) -> Column:
-    return F.array(*map(F.lit, values))
+    """An array of strings without a bar, from one literal."""
+    return F.split(F.lit("|".join(values)), r"\|")
+
+
+_COMPARED = "array<struct<common:int,n:int,n_template:int,template:string,unit:int,place:int>>"
 
 
 class _Known:
@@ -204,18 +208,21 @@ class _Known:
         def of(words: Column, place: Column) -> Column:
             bigrams = F.array_distinct(F.when(F.size(words) > 1, _pairs(words)).otherwise(words))
             every = lambda b: F.transform(self.table, lambda t: self.compare(t, b, unit, place))
-            fits = lambda b: F.when((F.size(b) >= self.least) & (F.size(b) <= self.most), every(b)).otherwise(F.slice(every(F.array().cast("array<string>")), 1, 0))
+            fits = lambda b: F.when((F.size(b) >= self.least) & (F.size(b) <= self.most), every(b)).otherwise(F.array().cast(_COMPARED))
             return self.good(_let(F.when(F.size(words) > self.least - 1, bigrams).otherwise(F.array().cast("array<string>")), fits))
 
         return F.flatten(F.transform(placed, lambda x: _let(_words(x["p"]), lambda w: of(w, x["i"]))))
 
     def of_windows(self, text: Column) -> Column:
         """The same for the windows of a text."""
-        spots = F.create_map(*(c for b, found in sorted(self.anchors.items()) for c in (F.lit(b), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in found)))))
+        # "bigram=template:place,template:place;..." as one literal
+        told = ";".join(f"{b}=" + ",".join(f"{t}:{at}" for t, at in found) for b, found in sorted(self.anchors.items()))
+        spots = F.str_to_map(F.lit(told), F.lit(";"), F.lit("="))
+        number = lambda e, k: F.get(F.split(e, ":"), F.lit(k)).cast("int")
 
         def of(pairs: Column) -> Column:
             hits = F.filter(F.transform(pairs, lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lambda x: x["b"].isin(sorted(self.anchors)))
-            starts = F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(spots, x["b"]), lambda s: F.struct(s["t"].alias("t"), F.greatest(F.lit(0), x["i"] - s["at"]).alias("start")))))
+            starts = F.flatten(F.transform(hits, lambda x: F.transform(F.split(F.element_at(spots, x["b"]), ","), lambda e: F.struct(number(e, 0).alias("t"), F.greatest(F.lit(0), x["i"] - number(e, 1)).alias("start")))))
             window = lambda c, t: F.array_distinct(F.slice(pairs, c["start"] + 1, t["length"]))
             compared = lambda c: _let(F.get(self.table, c["t"]), lambda t: _let(window(c, t), lambda b: self.compare(t, b, 3, c["start"])))
             return self.good(F.transform(F.array_distinct(starts), compared))
@@ -241,7 +248,7 @@ def scan_licences(documents: DataFrame, templates: dict[str, str] = TEMPLATES, t
         known.of_passages(F.when(F.instr(text, "\n") > 0, F.array(text)).otherwise(none), 2),
         known.of_windows(text),
     )
-    found = F.when(known.marked(text), found).otherwise(F.slice(known.of_windows(F.lit("")), 1, 0))
+    found = F.when(known.marked(text), found).otherwise(F.array().cast(_COMPARED))
     # Dice in billionths, an integer: equal on every engine
     share = lambda h: F.floor(F.lit(2_000_000_000).cast("long") * h["common"] / (h["n"] + h["n_template"])).cast("long")
     ranked = lambda hits: F.transform(
