@@ -10,7 +10,7 @@ from wayfold.functions import gaussian, geo
 from wayfold.operators import learning, mapmatch, motion, observations, paths
 from wayfold.operators import network as networks
 from wayfold.operators.filters import METHODS, NAMES, OFF, Cloud, Tracker, filter_fixes, filter_trace, initial_values
-from wayfold.operators.network import CompactNetwork, RoadNetwork, grid_edges, listed, segments_of
+from wayfold.operators.network import EDGE_SCHEMA, CompactNetwork, RoadNetwork, grid_edges, listed, segments_of
 from wayfold.operators.simulation import simulate_trace
 from wayfold.params import TrackingParameters
 
@@ -477,3 +477,29 @@ def test_drawing_from_a_truncated_normal():
     u = (np.arange(2000) + 0.5) / 2000
     x = gaussian.draw_truncated(u, np.full(2000, 1.0), np.full(2000, 2.0), np.full(2000, 0.0), np.full(2000, np.inf))
     assert x.min() >= 0 and x.mean() == pytest.approx(float(gaussian.truncated_mean(np.array([1.0]), np.array([2.0]), np.array([0.0]), np.array([np.inf]))[0]), abs=0.01)
+
+
+def test_bootstrap_over_many_sources_equals_one_by_one(spark, sf):
+    """All sources of a step together give what each gives alone, and no filter is run source by source."""
+    from wayfold.operators import fleet
+
+    streets = [(k, k, k + 1, [(100.0 * k, 0.0), (100.0 * k + 60, 0.0), (100.0 * k + 100, 0.0)]) for k in range(4)]
+    streets += [(10 + k, k + 1, k + 9, [(100.0 * (k + 1), 0.0), (100.0 * (k + 1), 80.0)]) for k in range(3)] + [(20, 4, 3, [(400.0, 0.0), (300.0, 0.0)])]
+    net, params = RoadNetwork(spark.createDataFrame(streets, EDGE_SCHEMA)), TrackingParameters(particles=12, off_probs=(1.0, 3.0), on_probs=(8.0, 2.0))
+    rng = np.random.default_rng(5)
+    rows = [(s, r, float(x), float(y)) for s in range(7) for r, (x, y) in enumerate(np.cumsum(rng.normal((20 + 5 * s, 2), 15, (9 + s, 2)), axis=0).tolist())]
+    fixes = spark.createDataFrame(rows, "source_id long, record_number int, x double, y double").withColumn("more", F.lit("kept"))
+    got = {(r["source_id"], r["record_number"]): r for r in filter_fixes(fixes, net, params, "bootstrap").collect()}
+    assert len(got) == len(rows) and all(r["more"] == "kept" for r in got.values())
+    for s in range(7):
+        own = [r for r in rows if r[0] == s]
+        for want in filter_trace(net.compact(), params, "bootstrap", s, np.array([r[2:] for r in own]), [r[1] for r in own]):
+            row = tuple(got[(s, want[0])][n] for n in NAMES)
+            assert row[:4] == want[:4] and row[-2:] == want[-2:]
+            assert row[4:-2] == pytest.approx(want[4:-2], rel=1e-12, abs=1e-9) if want[1] else row[6:-2] == pytest.approx(want[6:-2], rel=1e-12, abs=1e-9)
+    together = fleet.Fleet(net.compact(), params)
+    steps = []
+    together._step = lambda slots, *rest, step=together._step: steps.append(len(slots)) or step(slots, *rest)
+    for r in range(3):
+        together.advance(list(range(7)), list(range(7)), np.array([row[2:] for row in rows if row[1] == r]), [r] * 7)
+    assert steps == [7, 7]

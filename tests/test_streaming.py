@@ -51,3 +51,17 @@ def test_watermarks(spark, folder, make, expected):
     else:
         got = {(r["source_id"], r["window"]["start"].second): (r["n"], r["mean_x"]) for r in rows.collect()}
         assert got[(2, 0)][0] >= 1 and all(n >= 1 for n, _ in got.values())
+
+
+def test_bootstrap_by_groups_of_sources(spark, folder):
+    """Sources in one group of state keep their own particles, numbers and late fixes over batches."""
+    net = RoadNetwork(grid_edges(spark))
+    fixes = spark.read.schema(SCHEMA).parquet(str(folder / "in"))
+    for groups in (1, 256):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(tracking, "GROUPS", groups)
+            out = tracking.replay(fixes, str(folder / "in"), net, PARAMS, str(folder / f"out{groups}"), str(folder / f"state{groups}"), "bootstrap")
+        rows = sorted(out.collect(), key=lambda r: (r["source_id"], r["record_number"]))
+        assert [(r["source_id"], r["record_number"], r["late"]) for r in rows] == [(1, 0, 0), (1, 1, 0), (1, 2, 1), (2, 0, 0), (2, 1, 1)]
+        batch = filter_trace(net.compact(), PARAMS, "bootstrap", 1, np.array([[10.0, 1.0], [40.0, 0.0], [80.0, 2.0]]), [0, 1, 2])
+        assert [(r["x"], r["y"]) for r in rows[:3]] == [pytest.approx((b[6], b[8])) for b in batch]

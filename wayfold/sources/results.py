@@ -12,6 +12,7 @@ from wayfold.operators.network import RoadNetwork
 from wayfold.operators.paths import built, contiguous, geometry_of, path_to
 from wayfold.params import TrackingParameters
 from wayfold.sources.traces import read_trace
+from wayfold.storage import kept
 
 
 def _fixed(value: Column) -> Column:
@@ -72,8 +73,9 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 def track_file(spark: SparkSession, trace: str, network: RoadNetwork, params: TrackingParameters, out: str, method: str = "pl") -> DataFrame:
     """From a trace file to result objects: reads fixes, filters each source's, writes the results and reads them again.
-    The network is projected into the zone of the fixes; sources have ids of any text."""
-    write_results(filter_fixes(read_trace(spark, trace), network, params, method), out, network)
+    The network is projected into the zone of the fixes; sources have ids of any text. The filter's states are kept, as
+    what is written reads them twice."""
+    write_results(kept(filter_fixes(read_trace(spark, trace), network, params, method)), out, network)
     return read_results(spark, out)
 
 
