@@ -93,3 +93,13 @@ def test_networks(spark, tmp_path):
     turns = spark.createDataFrame([(2, 3, 0.0, True), (2, 4, 100.0, False)], "edge_id long, out_edge_id long, cost double, forbidden boolean")
     seconds = {(r["edge_id"], r["out_edge_id"]): r["seconds"] for r in networks.turn_costs(built, turns).collect()}
     assert set(seconds) == {(2, 4), (3, 2)} and seconds[(2, 4)] == pytest.approx((222.3 + 5) / 15, rel=0.01)
+
+
+def test_path_points_are_looked_up_row_by_row(spark):
+    """No shuffle and no second reading of the results; edges that are not there, and paths without edges, give none."""
+    net = RoadNetwork(grid_edges(spark, 3))
+    rows = spark.createDataFrame([("a", 0, 30.0, [0, 1]), ("a", 1, 30.0, [0]), ("a", 2, 0.0, None), ("a", 3, 0.0, []), ("a", 4, 1.0, [999])], "source_id string, record_number int, dist double, path array<int>")
+    out = results.with_path_points(rows, net)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["record_number"]: r["path_points"] and [tuple(p) for p in r["path_points"]] for r in out.collect()}
+    assert got == {0: [(0, 0), (50, 0), (100, 0), (130, 0)], 1: [(0, 0), (30, 0)], 2: None, 3: None, 4: None}

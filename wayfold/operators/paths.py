@@ -7,10 +7,17 @@ last. Speeds are along the listed direction on both.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfold.functions import geometry as g
+from wayfold.operators import network as networks
 
 
 def clamp(d: Column, length: Column, backward: Column) -> Column:
@@ -164,7 +171,10 @@ def built(lines: Column) -> Column:
 
 def geometry_of(walks: DataFrame, network, path: str = "path") -> DataFrame:
     """``walks`` with ``lines``, the lines of the edges of ``path`` (ids) in order; edges that are not there are left out.
-    Walks are told apart by all their columns."""
+    Of a network small enough to be sent they are looked up row by row; otherwise walks are brought together again by a
+    shuffle, and told apart by all their columns."""
+    if network.n_segments <= networks.BROADCAST_SEGMENTS:
+        return looked_up(walks, network, path).where(F.size("lines") > 0)
     key = "_walk"
     numbered = walks.withColumn(key, F.struct(*walks.columns))
     legs = numbered.select(key, F.posexplode(path).alias("at", "edge_id")).join(network.sent(network.edges.select("edge_id", "geometry")), "edge_id")
@@ -172,6 +182,29 @@ def geometry_of(walks: DataFrame, network, path: str = "path") -> DataFrame:
     return lines.select(f"{key}.*", "lines")
 
 
+def looked_up(walks: DataFrame, network, path: str = "path") -> DataFrame:
+    """Every row with the ``lines`` of its path, none where it has no path; the network is sent."""
+    streets = network.edges.where("geometry is not null").select("edge_id", "geometry").orderBy("edge_id").toArrow().combine_chunks()
+    ids = streets["edge_id"].to_numpy().astype(float)  # an id is an int
+    sent = walks.sparkSession.sparkContext.broadcast((ids, streets["geometry"].combine_chunks()))
+
+    def run(batches):
+        ids, lines = sent.value
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index(path))
+            n = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
+            row, e = np.repeat(np.arange(len(n)), n), pc.fill_null(own.flatten().cast(pa.float64()), math.nan).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(ids, e), max(len(ids) - 1, 0))
+            there = np.flatnonzero(ids[at] == e) if len(ids) else np.empty(0, dtype=np.int64)
+            found = lines.take(pa.array(at[there]))
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row[there], minlength=len(n)))])
+            whole = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, whole], names=[*batch.schema.names, "lines"])
+
+    line = network.edges.schema["geometry"].dataType
+    return walks.mapInArrow(run, T.StructType([*walks.schema.fields, T.StructField("lines", T.ArrayType(line))]))
+
+
 def path_to(points: Column, d: Column) -> Column:
     """The part of a path up to a distance from its first point."""
     return movement(points, F.lit(0.0), d)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 from wayfold.functions import geometry as g
+from wayfold.operators import network as networks
 from wayfold.operators.filters import filter_fixes
 from wayfold.operators.network import RoadNetwork
-from wayfold.operators.paths import built, contiguous, geometry_of, path_to
+from wayfold.operators.paths import built, contiguous, geometry_of, looked_up, path_to
 from wayfold.params import TrackingParameters
 from wayfold.sources.traces import read_trace
 from wayfold.storage import kept
@@ -43,12 +44,21 @@ def matrix_json(rows: Column) -> Column:
 
 def with_path_points(results: DataFrame, network: RoadNetwork) -> DataFrame:
     """Adds path_points: the points of the path (edge ids) of each result up to its state, null off the road. Results are
-    told apart by source_id and record_number."""
+    told apart by source_id and record_number where the network is too large to be sent; they are kept then, as they are
+    read twice."""
     key = ["source_id", "record_number"]
-    lines = geometry_of(results.where(F.size("path") > 0).select(*key, "path", "dist"), network)
+    sent = network.n_segments <= networks.BROADCAST_SEGMENTS
+    if sent:
+        lines = looked_up(results, network)
+    else:
+        results = kept(results)
+        lines = geometry_of(results.where(F.size("path") > 0).select(*key, "path", "dist"), network)
     whole = F.when(contiguous(F.col("lines")), built(F.col("lines")))
-    before = F.aggregate(F.slice("lines", 1, F.size("lines") - 1), F.lit(0.0), lambda a, p: a + g.line_length(p))
-    points = lines.withColumns({"_whole": whole, "_at": before + F.col("dist")}).select(*key, path_to(F.col("_whole"), F.col("_at")).alias("path_points"))
+    before = F.aggregate(F.slice("lines", 1, F.greatest(F.lit(0), F.size("lines") - 1)), F.lit(0.0), lambda a, p: a + g.line_length(p))
+    lines = lines.withColumns({"_whole": whole, "_at": before + F.col("dist")})
+    if sent:
+        return lines.select(*results.columns, F.when(F.size("lines") > 0, path_to(F.col("_whole"), F.col("_at"))).alias("path_points"))
+    points = lines.select(*key, path_to(F.col("_whole"), F.col("_at")).alias("path_points"))
     return results.join(points, key, "left")
 
 
@@ -73,9 +83,8 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 def track_file(spark: SparkSession, trace: str, network: RoadNetwork, params: TrackingParameters, out: str, method: str = "pl") -> DataFrame:
     """From a trace file to result objects: reads fixes, filters each source's, writes the results and reads them again.
-    The network is projected into the zone of the fixes; sources have ids of any text. The filter's states are kept, as
-    what is written reads them twice."""
-    write_results(kept(filter_fixes(read_trace(spark, trace), network, params, method)), out, network)
+    The network is projected into the zone of the fixes; sources have ids of any text."""
+    write_results(filter_fixes(read_trace(spark, trace), network, params, method), out, network)
     return read_results(spark, out)
 
 
