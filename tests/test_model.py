@@ -503,3 +503,36 @@ def test_bootstrap_over_many_sources_equals_one_by_one(spark, sf):
     for r in range(3):
         together.advance(list(range(7)), list(range(7)), np.array([row[2:] for row in rows if row[1] == r]), [r] * 7)
     assert steps == [7, 7]
+
+
+@pytest.mark.parametrize("method", ["pl", "path_sampling"])
+def test_learning_over_many_sources_equals_one_by_one(spark, method):
+    """Sources joined in a step give what each gives alone, and their walks and learning run once for all of them."""
+    from wayfold.operators import convoy
+
+    net = crooked()
+    params = TrackingParameters(particles=7, off_probs=(2.0, 3.0), on_probs=(8.0, 2.0), path_search_bound=600.0)
+    rng = np.random.default_rng(7)
+    traces = {s: 200 + np.cumsum(rng.normal(0, 40 + 10 * s, (6 + s, 2)), axis=0) for s in range(5)}
+    together, got, calls = convoy.Convoy(net, params, method), {}, []
+    together.model._learnt = lambda old, *rest, learn=together.model._learnt: calls.append(len(old)) or learn(old, *rest)
+    for r in range(max(map(len, traces.values()))):
+        now = [s for s, t in traces.items() if r < len(t)]
+        found = together.advance(now, now, np.array([traces[s][r] for s in now]), [r] * len(now))
+        for k, s in enumerate(now):
+            got[(s, r)] = tuple(found[n][k] for n in NAMES)
+    assert calls[:5] == [35] * 5 and len(calls) == max(map(len, traces.values())) - 1
+    for s, t in traces.items():
+        assert filter_trace(net, params, method, s, t, list(range(len(t)))) == [got[(s, r)] for r in range(len(t))]
+
+
+def test_fans_follow_least_ways():
+    net = crooked()
+    for e in range(len(net.edge_len)):
+        seg, start, parent, n_own = net.fan(e, 250.0)
+        tree = net.tree(int(net.to_node[e]), 250.0)
+        assert n_own == net.n_segs[e] and len(seg) == n_own + sum(net.n_segs[f] for node in tree for f in net.out[node])
+        for s, d, p in zip(seg[n_own:].tolist(), start[n_own:].tolist(), parent[n_own:].tolist(), strict=True):
+            f = int(net.seg_edge[s])
+            assert d == pytest.approx(net.edge_len[e] + tree[int(net.from_node[f])][0] + net.start[s])
+            assert d == pytest.approx(start[p] + net.seg_len[seg[p]])

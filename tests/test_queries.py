@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 from conftest import same_rows
+from pyspark.sql import functions as F
 
 from wayfold.plans.queries import FILTER, QUERIES, fixes
 from wayfold.plans.sql import ORACLE_SQL
@@ -41,6 +42,15 @@ def test_filters_do_not_depend_on_the_partitioning(spark, sf):
     assert one == two
 
 
+def test_sources_are_dealt_out_anew(spark, sf):
+    """Fixes come from a shuffle by source that was brought together into few tasks; the filter has its own."""
+    from wayfold.operators.filters import filter_fixes
+    from wayfold.operators.network import RoadNetwork, grid_edges
+
+    found = filter_fixes(fixes(spark, sf).where("record_number < 2"), RoadNetwork(grid_edges(spark)), FILTER, "path_sampling")
+    assert found.select(F.spark_partition_id().alias("task")).distinct().count() > 4
+
+
 def test_stream_equals_batch(spark, sf):
     stream = QUERIES["stream_filter"](spark, sf)
     batch = QUERIES["bootstrap_filter"](spark, sf).select(*(c for c in stream.columns if c != "late"))
