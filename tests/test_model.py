@@ -536,3 +536,22 @@ def test_fans_follow_least_ways():
             f = int(net.seg_edge[s])
             assert d == pytest.approx(net.edge_len[e] + tree[int(net.from_node[f])][0] + net.start[s])
             assert d == pytest.approx(start[p] + net.seg_len[seg[p]])
+
+
+@pytest.mark.parametrize("digits", [None, 6])
+def test_nearest_equals_ranking_all_near(spark, monkeypatch, digits):
+    from wayfold.operators import mapmatch
+    from wayfold.operators import network as networks
+    from wayfold.plans.queries import crooked_edges
+
+    odd = [None, math.nan, math.inf, -math.inf, 1e300, -1e18, 0.0, 50.0, 1e4]
+    rng = np.random.default_rng(3)
+    rows = [(x, y) for x in odd for y in odd] + [(100.0 * i, 100.0 * j) for i in range(9) for j in range(9)] + rng.uniform(-200, 900, (300, 2)).tolist()
+    points = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], "k int, x double, y double")
+    nets = [RoadNetwork(grid_edges(spark, 6)), RoadNetwork(crooked_edges(spark)), RoadNetwork(crooked_edges(spark).where("edge_id < 0"))]
+    got = [sorted(map(repr, mapmatch.matched(points, n, 60.0, ["k"], digits).collect())) for n in nets]
+    for n in nets:
+        n.n_listed(60.0)
+    monkeypatch.setattr(networks, "BROADCAST_SEGMENTS", 1)
+    assert got == [sorted(map(repr, mapmatch.matched(points, n, 60.0, ["k"], digits).collect())) for n in nets]
+    assert len(got[0]) > 50 and not got[2]

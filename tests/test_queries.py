@@ -64,6 +64,13 @@ def test_plans_prune_and_push_down(spark, sf):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("name", ["ground_from_road", "road_belief", "road_from_ground", "movements", "crooked_snap"])
+def test_snapping_makes_no_row_for_each_near_segment(spark, sf, name):
+    """Neither joined to cells nor sorted: the one sort is that of the fixes."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "cell_x" not in plan and plan.count("row_number") <= 1
+
+
 def test_simulation_has_all_steps(spark, sf):
     rows = QUERIES["simulate"](spark, sf).collect()
     assert len(rows) == 64 * 120

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as g
+from wayfold.operators import network as networks
+from wayfold.operators.network import RoadNetwork
 
 SEGMENT = ("x0", "y0", "x1", "y1")
 
@@ -22,7 +24,22 @@ def snapped(near: DataFrame, keys: list[str]) -> DataFrame:
     """Of each key's nearby segments the closest (ties: smallest edge_id, then seg_idx), with the snapped point
     (snap_x, snap_y) and its distance from the start of the edge (along)."""
     best = F.row_number().over(Window.partitionBy(*keys).orderBy("dist", "edge_id", "seg_idx"))
-    rows = near.withColumn("best", best).where(F.col("best") == 1).drop("best")
+    return with_snap(near.withColumn("best", best).where(F.col("best") == 1).drop("best"))
+
+
+def matched(fixes: DataFrame, network: RoadNetwork, radius: float, keys: list[str], digits: int | None = None) -> DataFrame:
+    """`snapped` of the segments within ``radius`` of each fix, with distances to so many ``digits``. Of a network small enough to be sent the closest one is
+    found row by row, so that a task never holds and sorts all the segments near its fixes."""
+    if network.n_listed(radius) <= networks.BROADCAST_SEGMENTS:
+        rows = network.nearest(fixes, radius, digits=digits)
+        return with_snap(rows if digits is None else rows.withColumn("dist", F.round("dist", digits)))
+    near = network.nearby(fixes, radius)
+    return snapped(near if digits is None else near.withColumn("dist", F.round("dist", digits)), keys)
+
+
+def with_snap(rows: DataFrame) -> DataFrame:
+    """Adds the point of each row's segment that is closest to its fix (snap_x, snap_y) and that point's distance from the
+    start of the edge (along)."""
     t = g.along(F.col("x"), F.col("y"), *map(F.col, SEGMENT))
     sx, sy = g.at(t, *map(F.col, SEGMENT))
     return rows.withColumns({"snap_x": sx, "snap_y": sy, "along": F.col("start_dist") + t})

@@ -17,8 +17,10 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfold.functions import geometry as g
 from wayfold.storage import kept
@@ -131,6 +133,20 @@ class RoadNetwork:
         limit = F.lit(radius) if within is None else within
         return joined.where(d2 < limit * limit).withColumn("dist", F.sqrt(d2)).drop("cell_x", "cell_y", "_ux", "_uy")
 
+    def nearest(self, points: DataFrame, radius: float, x: str = "x", y: str = "y", digits: int | None = None) -> DataFrame:
+        """``points`` with the closest of their `nearby` segments (ties, to so many ``digits``: smallest edge_id, then
+        seg_idx): one row or none for each, without a row for every segment in between. The network is sent; it must be
+        small enough for that."""
+        sent = self._spark.sparkContext.broadcast(CellList.of(self.segments, radius))
+        kind = T.StructType([*(T.StructField(f.name, f.dataType) for f in self.segments.schema.fields), T.StructField("dist", T.DoubleType())])
+
+        @F.arrow_udf(kind)
+        def found(x: pa.Array, y: pa.Array) -> pa.Array:
+            return sent.value.nearest(*(c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (x, y)), digits)
+
+        # once for a row, whatever is asked of it
+        return points.withColumn("_near", found.asNondeterministic()(x, y)).where(F.col("_near").isNotNull()).select(*points.columns, "_near.*")
+
     def n_listed(self, radius: float) -> int:
         """Rows that `nearby` would broadcast: segments times the cells that they pass."""
         if radius not in self._listed:
@@ -242,6 +258,67 @@ class RoadNetwork:
         return CompactNetwork.build([tuple(r) for r in e], [(r["edge_id"], r["seg_idx"], r["x0"], r["y0"], r["x1"], r["y1"], r["seg_len"], r["start_dist"], r["edge_len"]) for r in s])
 
 
+@dataclass
+class CellList:
+    """Segments in order of (edge_id, seg_idx), and for each cell, by rising key, which of them are `listed` under it."""
+
+    table: pa.Table
+    lines: tuple[np.ndarray, ...]
+    keys: np.ndarray
+    first: np.ndarray
+    number: np.ndarray
+    #: what is listed under the cells, one cell after the other
+    seg: np.ndarray
+    radius: float
+    box: tuple[int, int, int, int]
+
+    @staticmethod
+    def of(segments: DataFrame, radius: float) -> CellList:
+        rows = listed(segments, radius, radius).toArrow().combine_chunks()
+        rows = rows.sort_by([("edge_id", "ascending"), ("seg_idx", "ascending")])
+        cx, cy, edge, part = (rows[c].to_numpy() for c in ("cell_x", "cell_y", "edge_id", "seg_idx"))
+        new = np.append(True, (edge[1:] != edge[:-1]) | (part[1:] != part[:-1]))[: len(cx)]
+        table = rows.filter(pa.array(new)).drop_columns(["cell_x", "cell_y"]).combine_chunks()
+        x0, y0, x1, y1, n = (table[c].to_numpy() for c in ("x0", "y0", "x1", "y1", "seg_len"))
+        box = (int(cx.min()), int(cx.max()), int(cy.min()), int(cy.max())) if len(cx) else (0, -1, 0, -1)
+        key = (cx - box[0]) * (box[3] - box[2] + 1) + (cy - box[2])
+        order = np.argsort(key, kind="stable")
+        keys, first, number = np.unique(key[order], return_index=True, return_counts=True)
+        return CellList(table, (x0, y0, n, (x1 - x0) / n, (y1 - y0) / n), keys, first, number, (np.cumsum(new) - 1)[order], radius, box)
+
+    def nearest(self, x: np.ndarray, y: np.ndarray, digits: int | None = None) -> pa.StructArray:
+        """Of each point the closest segment under the radius with its distance, or null."""
+        best, dist = np.full(len(x), -1, dtype=np.int64), np.full(len(x), np.inf)
+        with np.errstate(invalid="ignore"):
+            cx, cy = np.floor(x / self.radius), np.floor(y / self.radius)
+        a, b, c, d = self.box
+        inside = np.flatnonzero((cx >= a) & (cx <= b) & (cy >= c) & (cy <= d))
+        key = (cx[inside].astype(np.int64) - a) * (d - c + 1) + (cy[inside].astype(np.int64) - c)
+        cell = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = self.keys[cell] == key if len(key) else np.empty(0, dtype=bool)
+        who, cell = inside[known], cell[known]
+        if len(who):
+            n = self.number[cell]
+            begin = np.cumsum(n) - n
+            seg = self.seg[np.repeat(self.first[cell] - begin, n) + np.arange(int(n.sum()))]
+            x0, y0, length, ux, uy = (v[seg] for v in self.lines)
+            dx, dy = np.repeat(x[who], n) - x0, np.repeat(y[who], n) - y0
+            t = np.maximum(0.0, np.minimum(length, dx * ux + dy * uy))
+            ex, ey = dx - t * ux, dy - t * uy
+            d2 = ex * ex + ey * ey
+            far = np.where(d2 < self.radius * self.radius, np.sqrt(d2), np.inf)
+            place = far if digits is None else np.floor(far * 10.0**digits + 0.5)
+            same = np.flatnonzero(place == np.repeat(np.minimum.reduceat(place, begin), n))
+            owner = np.repeat(np.arange(len(who)), n)[same]
+            one = same[np.append(True, owner[1:] != owner[:-1])]
+            best[who], dist[who] = seg[one], far[one]
+        none = pa.array(np.isinf(dist))
+        at = pa.array(np.where(np.isinf(dist), 0, best))
+        rows = self.table.take(at) if self.table.num_rows else pa.table({f.name: pa.nulls(len(x), f.type) for f in self.table.schema})
+        columns = [*(v.combine_chunks() for v in rows.columns), pa.array(dist)]
+        return pa.StructArray.from_arrays(columns, names=[*rows.column_names, "dist"], mask=none)
+
+
 @dataclass
 class CompactNetwork:
     """Segments as arrays, edges by dense index, and least-cost trees from nodes, found when first asked for."""

@@ -83,7 +83,7 @@ def near(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snapped(spark: SparkSession, sf: str) -> DataFrame:
-    return mapmatch.snapped(near(spark, sf), KEY)
+    return mapmatch.matched(fixes(spark, sf), _grid(spark), RADIUS, KEY)
 
 
 # -- fixes, projection --------------------------------------------------------------------------------------------
@@ -240,8 +240,7 @@ def crooked_facts(spark, sf):
 
 def crooked_snap(spark, sf):
     """The closest of the crooked streets' segments to each fix."""
-    found = _crooked(spark).nearby(fixes(spark, sf), RADIUS).withColumn("dist", F.round("dist", 6))  # streets meet in nodes
-    rows = mapmatch.snapped(found, KEY)
+    rows = mapmatch.matched(fixes(spark, sf), _crooked(spark), RADIUS, KEY, digits=6)  # streets meet in nodes
     rows = mapmatch.road_observation(rows, *OBS_COV)
     return rounded(rows.select(*KEY, "edge_id", "seg_idx", "dist", "along", "road_var"), "along", "road_var")
 
