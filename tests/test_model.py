@@ -555,3 +555,15 @@ def test_nearest_equals_ranking_all_near(spark, monkeypatch, digits):
     monkeypatch.setattr(networks, "BROADCAST_SEGMENTS", 1)
     assert got == [sorted(map(repr, mapmatch.matched(points, n, 60.0, ["k"], digits).collect())) for n in nets]
     assert len(got[0]) > 50 and not got[2]
+
+
+def test_movements_of_batches_equal_those_of_rows(spark):
+    """The same points, number for number, also of odd paths and distances; and no row by row work where nothing is odd."""
+    rng = np.random.default_rng(11)
+    lines = [np.cumsum(rng.normal(0, 10, (n, 2)), axis=0).tolist() for n in rng.integers(2, 40, 60)] + [[], [[1.0, 2.0]], None, [[0.0, 0.0], [0.0, 0.0], [3.0, 4.0]], [[0.0, 0.0], [None, 4.0]], [None, [3.0, 4.0], [3.0, 9.0]]]
+    ends = [(0.0, 25.0), (10.0, 10.0), (-5.0, 1e9), (30.0, 3.0), (None, 5.0), (5.0, None), (math.nan, 5.0), (5.0, math.nan), (0.0, 5.0), (math.inf, -math.inf)]
+    rows = [(k, [None if q is None else tuple(q) for q in p] if p is not None else None, a, b) for k, p in enumerate(lines) for a, b in ends]
+    df = spark.createDataFrame(rows, "k int, p array<struct<x: double, y: double>>, a double, b double")
+    got = df.select("k", paths.movement(F.col("p"), F.col("a"), F.col("b")).alias("m"), paths._movement(F.col("p"), F.col("a"), F.col("b")).alias("want"), paths._movements("p", "a", "b").alias("fast")).collect()
+    assert all(repr(r["m"]) == repr(r["want"]) for r in got)
+    assert sum(r["fast"] is not None for r in got) == 61 * 8

@@ -112,6 +112,66 @@ def convert(points: Column, d: Column, v: Column, back: Column, onto: Column, on
 
 def movement(points: Column, a: Column, b: Column) -> Column:
     """Points of a path between two distances from its first point."""
+    # batch by batch where the path has two points at least and nothing is null
+    return F.coalesce(_movements(points, a.cast("double"), b.cast("double")), _movement(points, a, b))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
+def _movements(points: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+    return moved(points, a, b)
+
+
+def moved(points: pa.ListArray, a: pa.Array, b: pa.Array) -> pa.ListArray:
+    """`movement` of many paths; null for those with less than two points and where anything is null."""
+    n = pc.fill_null(pc.list_value_length(points), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    p = points.flatten()
+    x, y = (p.field(c) for c in ("x", "y"))
+    bad = p.is_null().to_numpy(zero_copy_only=False) | x.is_null().to_numpy(zero_copy_only=False) | y.is_null().to_numpy(zero_copy_only=False)
+    x, y = (c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (x, y))
+    first = np.cumsum(n) - n
+    gone = (n < 2) | a.is_null().to_numpy(zero_copy_only=False) | b.is_null().to_numpy(zero_copy_only=False)
+    gone |= np.bincount(np.repeat(np.arange(len(n)), n), weights=bad, minlength=len(n)) > 0
+    row = np.flatnonzero(~gone)
+    n, first = n[row], first[row]
+    ends = [c.to_numpy(zero_copy_only=False)[row] for c in (a, b)]
+    # the points of those rows and their distances along the path
+    own = np.repeat(np.arange(len(row)), n)
+    begin = np.cumsum(n) - n
+    place = np.arange(len(own)) - begin[own]
+    x, y = x[first[own] + place], y[first[own] + place]
+    step = np.zeros(len(own))
+    step[1:] = np.sqrt((x[1:] - x[:-1]) * (x[1:] - x[:-1]) + (y[1:] - y[:-1]) * (y[1:] - y[:-1]))
+    s = np.zeros(len(own))
+    by = np.argsort(place, kind="stable")  # the first points of all, then the second ones
+    bounds = np.cumsum(np.bincount(place)) if len(place) else np.zeros(1, dtype=np.int64)
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        k = by[low:high]
+        s[k] = s[k - 1] + step[k]
+    found = []
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for d in ends:
+            passed = np.bincount(own, weights=~(s > d[own]), minlength=len(row)).astype(np.int64)
+            k = begin + np.clip(passed - 1, 0, n - 2)
+            x0, y0, x1, y1 = x[k], y[k], x[k + 1], y[k + 1]
+            length = np.sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))
+            share = np.where(length == 0, 0.0, (d - s[k]) / length)
+            found.append((x0 + share * (x1 - x0), y0 + share * (y1 - y0)))
+    inner = np.flatnonzero((s > ends[0][own]) & ~(s >= ends[1][own]))
+    number = np.bincount(own[inner], minlength=len(row)) + 2
+    size = np.zeros(len(gone), dtype=np.int64)
+    size[row] = number
+    at = np.cumsum(number) - number
+    out = []
+    for c, k in ((x, 0), (y, 1)):
+        values = np.empty(int(number.sum()))
+        values[at], values[at + number - 1] = found[0][k], found[1][k]
+        values[np.arange(len(inner)) + 2 * own[inner] + 1] = c[inner]
+        out.append(pa.array(values))
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(out, names=["x", "y"]), mask=pa.array(gone))
+
+
+def _movement(points: Column, a: Column, b: Column) -> Column:
 
     def part(p: Column, s: Column) -> Column:
         def at(d: Column) -> Column:
