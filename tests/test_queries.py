@@ -71,6 +71,18 @@ def test_snapping_makes_no_row_for_each_near_segment(spark, sf, name):
     assert "cell_x" not in plan and plan.count("row_number") <= 1
 
 
+@pytest.mark.parametrize("name", ["mixture_mean", "mixture_normalise", "ess_by_fix", "best_state"])
+def test_mixtures_are_dealt_out_by_number(spark, sf, monkeypatch, name):
+    """Tasks by the number of fixes, not by their size before near segments multiply them; no further shuffle."""
+    from wayfold.operators import observations
+
+    monkeypatch.setattr(observations, "FIXES_A_TASK", 100)
+    found = QUERIES[name](spark, sf)
+    assert found.select("source_id", F.spark_partition_id().alias("task")).distinct().select("task").distinct().count() > 8
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(source_id") == 2 and "REPARTITION_BY_NUM" in plan
+
+
 def test_simulation_has_all_steps(spark, sf):
     rows = QUERIES["simulate"](spark, sf).collect()
     assert len(rows) == 64 * 120

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: With a dozen near segments each, and what is summed of them, a task takes some hundred MB.
+FIXES_A_TASK = 50_000
+
+
 def from_events(events: DataFrame) -> DataFrame:
     """The driver's events as fixes: source_id, ts, event_id, x, y (metres within a square kilometre)."""
     k = F.get_json_object("props", "$.k").cast("int")
@@ -39,3 +43,11 @@ def in_extent(fixes: DataFrame, extent: DataFrame) -> DataFrame:
 def displacement_velocity(rows: DataFrame, freq: float) -> DataFrame:
     """Adds vx, vy over a constant time step; 0 at a source's first fix."""
     return rows.withColumns({v: F.coalesce((F.col(c) - F.col(f"prev_{c}")) / freq, F.lit(0.0)) for v, c in (("vx", "x"), ("vy", "y"))})
+
+
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt out by ``keys`` to as many tasks as keep each to about ``FIXES_A_TASK`` of them, before they are multiplied
+    and brought together by the keys again. The rows are counted; a shuffle whose number of tasks Spark chooses goes by
+    their size before."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FIXES_A_TASK))
+    return rows.repartition(tasks, *keys)

@@ -471,7 +471,8 @@ def inverse_gamma_running(spark, sf):
 
 def _weighted(spark, sf):
     log_w = gaussian.normal_log(F.col("dist"), F.lit(0.0), F.lit(OBS_VAR))
-    return learning.normalised(near(spark, sf).withColumn("log_w", log_w), "log_w", KEY)
+    rows = _grid(spark).nearby(observations.dealt(fixes(spark, sf), KEY), RADIUS)
+    return learning.normalised(rows.withColumn("log_w", log_w), "log_w", KEY)
 
 
 def mixture_normalise(spark, sf):
